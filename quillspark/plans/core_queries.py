@@ -21,11 +21,11 @@ o AS (
   SELECT scrape_id, surface, story_id, min(position) AS position, min(observed_at) AS observed_at
   FROM observations JOIN ok USING (scrape_id)
   WHERE surface IS NOT NULL AND story_id IS NOT NULL AND observed_at IS NOT NULL GROUP BY ALL),
-s AS (SELECT scrape_id, min(observed_at) AS at FROM o GROUP BY scrape_id),
+s AS (SELECT scrape_id, min(observed_at) AS seen FROM o GROUP BY scrape_id),
 p AS (
   SELECT * FROM (
-    SELECT scrape_id, at, lag(scrape_id) OVER w AS prev, lag(at) OVER w AS prev_at FROM s WINDOW w AS (ORDER BY at, scrape_id))
-  WHERE prev IS NOT NULL AND at - prev_at <= INTERVAL 6 HOURS),
+    SELECT scrape_id, seen, lag(scrape_id) OVER w AS prev, lag(seen) OVER w AS prev_seen FROM s WINDOW w AS (ORDER BY seen, scrape_id))
+  WHERE prev IS NOT NULL AND seen - prev_seen <= INTERVAL 6 HOURS),
 a AS (SELECT p.scrape_id, surface, story_id, position FROM p JOIN o USING (scrape_id)),
 b AS (SELECT p.scrape_id, surface, story_id, position FROM p JOIN o ON o.scrape_id = p.prev)
 SELECT scrape_id, surface, story_id,
