@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm.clusters import cluster_vectors
+from quillspark.llm.neighbours import nearest
 from quillspark.llm.runs import collapse_runs
 from quillspark.sources.tables import table
 
@@ -16,6 +19,24 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_runs(table(spark, folder, "observations"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "article_embeddings")).where("group_size >= 2").select("content_sha256", "group_key")
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "article_embeddings"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    n = nearest(table(spark, folder, "article_embeddings"))
+    a, b = F.col("content_sha256"), F.col("neighbour_sha256")
+    return n.select(F.least(a, b).alias("sha_a"), F.greatest(a, b).alias("sha_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "article_embeddings")).withColumn("similarity", F.round("similarity", 6))
+
+
 _RUNS_SQL = """
 WITH RECURSIVE o AS (
   SELECT story_id, surface, epoch_us(observed_at) AS us, min(position)::INT AS p FROM observations
@@ -33,8 +54,29 @@ runs AS (
   FROM g GROUP BY story_id, surface, start)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs}
+_SIMILAR_SQL = """
+WITH RECURSIVE u AS (
+  SELECT content_sha256 AS sha, embedding::DOUBLE[] AS e FROM article_embeddings
+  WHERE content_sha256 IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  QUALIFY row_number() OVER (PARTITION BY content_sha256 ORDER BY generated_at DESC NULLS LAST) = 1),
+pairs AS (
+  SELECT a.sha AS a, b.sha AS b, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM u a JOIN u b ON a.sha < b.sha
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.78),
+both AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL = {
     "p1_found": _RUNS_SQL + "SELECT story_id, surface, started_us, ended_us FROM runs WHERE observations >= 2",
+    "p3_found": _SIMILAR_SQL
+    + """reach AS (SELECT a, a AS r FROM both UNION SELECT both.b, reach.r FROM reach JOIN both USING (a))
+SELECT a AS content_sha256, min(r) AS group_key FROM reach GROUP BY a""",
+    "p5_found": _SIMILAR_SQL
+    + """best AS (SELECT a, b FROM both QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS sha_a, greatest(a, b) AS sha_b FROM best""",
+    "p5_neighbours": _SIMILAR_SQL
+    + """best AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM both)
+SELECT a AS content_sha256, b AS neighbour_sha256, round(s, 6) AS similarity, place FROM best WHERE place <= 5""",
     "p1_runs": _RUNS_SQL + "SELECT * FROM runs",
 }
