@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.clusters import cluster_vectors
+from quillspark.llm.names import link_names, name_pairs
 from quillspark.llm.neighbours import nearest
 from quillspark.llm.runs import collapse_runs
 from quillspark.sources.tables import table
@@ -19,6 +20,14 @@ def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_runs(table(spark, folder, "observations"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return name_pairs(table(spark, folder, "story_signals"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return link_names(table(spark, folder, "story_signals"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_vectors(table(spark, folder, "article_embeddings")).where("group_size >= 2").select("content_sha256", "group_key")
 
@@ -63,20 +72,20 @@ WITH RECURSIVE u AS (
 pairs AS (
   SELECT a.sha AS a, b.sha AS b, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM u a JOIN u b ON a.sha < b.sha
   WHERE list_cosine_similarity(a.e, b.e) >= 0.78),
-both AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
+links AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL = {
     "p1_found": _RUNS_SQL + "SELECT story_id, surface, started_us, ended_us FROM runs WHERE observations >= 2",
     "p3_found": _SIMILAR_SQL
-    + """reach AS (SELECT a, a AS r FROM both UNION SELECT both.b, reach.r FROM reach JOIN both USING (a))
+    + """reach AS (SELECT a, a AS r FROM links UNION SELECT links.b, reach.r FROM reach JOIN links USING (a))
 SELECT a AS content_sha256, min(r) AS group_key FROM reach GROUP BY a""",
     "p5_found": _SIMILAR_SQL
-    + """best AS (SELECT a, b FROM both QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+    + """best AS (SELECT a, b FROM links QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS sha_a, greatest(a, b) AS sha_b FROM best""",
     "p5_neighbours": _SIMILAR_SQL
-    + """best AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM both)
+    + """best AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM links)
 SELECT a AS content_sha256, b AS neighbour_sha256, round(s, 6) AS similarity, place FROM best WHERE place <= 5""",
     "p1_runs": _RUNS_SQL + "SELECT * FROM runs",
 }
