@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.clusters import cluster_vectors
 from quillspark.llm.names import link_names, name_pairs
 from quillspark.llm.neighbours import nearest
+from quillspark.llm.residue import find_residue
 from quillspark.llm.runs import collapse_runs
 from quillspark.sources.tables import table
 
@@ -46,6 +47,14 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "article_embeddings")).withColumn("similarity", F.round("similarity", 6))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_residue(table(spark, folder, "article_snapshots")).where("residue").select("snapshot_id")
+
+
+def p6_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return find_residue(table(spark, folder, "article_snapshots"))
+
+
 _RUNS_SQL = """
 WITH RECURSIVE o AS (
   SELECT story_id, surface, epoch_us(observed_at) AS us, min(position)::INT AS p FROM observations
@@ -75,7 +84,7 @@ pairs AS (
 links AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence}
 SQL = {
     "p1_found": _RUNS_SQL + "SELECT story_id, surface, started_us, ended_us FROM runs WHERE observations >= 2",
     "p3_found": _SIMILAR_SQL
