@@ -52,7 +52,7 @@ NOTICE = (
     r")"
 )
 #: What stands around a notice.
-FURNITURE = r"(?i)©.*|\bcopyright\b.*|\b(?:home|news|sport|weather|contact|terms)\b|\b(?:reference|incident|ray|request)(?: id)?:?\s+\S+(?:, node \S+)?|\bgo back to the front page\b|\bsearch the site\b|^[\w-]+/[\d.]+"
+FURNITURE = r"(?i)©.*|\bcopyright\b.*|\b(?:home|news|sport|weather|contact|terms)\b|\b(?:reference|incident|ray|request)(?: id)?:?\s+[^\s,]+(?:, node \S+)?|\bgo back to the front page\b|\bsearch the site\b|^[\w-]+/[\d.]+"
 LOW = 400
 _QUOTES = "“”\"'‘’«»„"
 
