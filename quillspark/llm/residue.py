@@ -15,19 +15,43 @@ Sentences are counted over all snapshots by (host, template) with partial aggreg
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"[A-Za-z][A-Za-z0-9_.]*"
-#: Marks of templating languages and of editors, each around a name.
-MARKS = [
-    r"\{\{\s*" + _NAME + r"\s*\}\}", r"\{%[^%\n]{1,60}%\}", r"[$#%]?\{\s*" + _NAME + r"\s*\}", r"%\(" + _NAME + r"\)[sdf]", r"<%[=-]?[^%\n]{1,60}%>", r"<<\s*" + _NAME + r"\s*>>", r"\[\[\s*" + _NAME + r"\s*\]\]",
-    r"\[[^\[\]\n]{1,40}\s+TK\]", r"\[INSERT\s[^\[\]\n]{1,40}\]", r"@@" + _NAME + r"@@", r"%%" + _NAME + r"%%", r"(?<!\w)__" + _NAME + r"__(?!\w)", r"(?<![\w?])\?[A-Za-z]\w*(?:\.\w+)*\?(?!\w)", r"«" + _NAME + r"»_TBC", r"\bdata-bind:" + _NAME,
-    r"(?<![\w@/.-])[a-z]{3,}(?:\.[A-Za-z_]{2,}){1,4}\.(?:label|title|text|name|heading|caption|message|placeholder|html)\b",
-]
-MARK = "(?:" + "|".join(MARKS) + ")"
-#: Traces of programs that failed while a page was made.
-TRACE = r"(?:\[object Object\]|\w+(?:Exception|Error) (?:at|in) \w|failed to open stream|Traceback \(most recent|on line \d+\b.{0,40}\.(?:php|inc|tpl)|\btemplate render failed|(?m)^\s*(?:undefined|null|NaN)\s*$)"
+#: Marks of templating languages and of editors, each around a name, by what a text must hold to have one.
+MARKS = {
+    "{": r"\{\{\s*" + _NAME + r"\s*\}\}|\{%[^%\n]{1,60}%\}|[$#%]?\{\s*" + _NAME + r"\s*\}",
+    "%(": r"%\(" + _NAME + r"\)[sdf]",
+    "<%": r"<%[=-]?[^%\n]{1,60}%>",
+    "<<": r"<<\s*" + _NAME + r"\s*>>",
+    "[[": r"\[\[\s*" + _NAME + r"\s*\]\]",
+    " TK]": r"\[[^\[\]\n]{1,40}\s+TK\]",
+    "[INSERT": r"\[INSERT\s[^\[\]\n]{1,40}\]",
+    "@@": r"@@" + _NAME + r"@@",
+    "%%": r"%%" + _NAME + r"%%",
+    "__": r"(?<!\w)__" + _NAME + r"__(?!\w)",
+    "?": r"(?<![\w?])\?[A-Za-z]\w*(?:\.\w+)*\?(?!\w)",
+    "»_TBC": r"«" + _NAME + r"»_TBC",
+    "data-bind:": r"\bdata-bind:" + _NAME,
+    **{f".{end}": r"(?<![\w@/.-])[a-z]{3,}(?:\.[A-Za-z_]{2,}){1,4}\." + end + r"\b" for end in ("label", "title", "text", "name", "heading", "caption", "message", "placeholder", "html")},
+}
+MARK = "(?:" + "|".join(MARKS.values()) + ")"
+#: Traces of programs that failed while a page was made, in the same way.
+TRACES = {
+    "[object Object]": r"\[object Object\]",
+    "Exception": r"\w+Exception (?:at|in) \w",
+    "Error at ": r"\w+Error at \w",
+    "failed to open stream": r"failed to open stream",
+    "Traceback": r"Traceback(?: \(most recent|: )",
+    "template render failed": r"template render failed",
+    "undefined": r"(?:^|\n)\s*undefined\s*(?:\n|$)",
+    "null": r"(?:^|\n)\s*null\s*(?:\n|$)",
+    "NaN": r"(?:^|\n)\s*NaN\s*(?:\n|$)",
+}
 LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint "
@@ -57,19 +81,25 @@ LOW = 400
 _QUOTES = "“”\"'‘’«»„"
 
 
-def _unquoted(text: Column, pattern: str) -> Column:
-    """Whether ``pattern`` stands in ``text`` other than as the whole of a quotation."""
-    whole = F.regexp_replace(text, f"[{_QUOTES}]{pattern}[{_QUOTES}]", " ")
-    return whole.rlike(pattern)
+def _unquoted(text: Column, patterns: dict[str, str]) -> Column:
+    """Whether one of ``patterns`` stands in ``text`` other than as the whole of a quotation. Patterns are tried only where their literal part is."""
 
+    def one(part: str, pattern: str) -> Column:
+        found = text.contains(part) & text.rlike(pattern)
+        bare = F.regexp_replace(text, f"[{_QUOTES}](?:{pattern})[{_QUOTES}]", " ").rlike(pattern)
+        return F.when(found, bare).otherwise(F.lit(False))
 
-def template(sentence: Column) -> Column:
-    """A sentence with codes and numbers made alike."""
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "h"), r"\d+", "9")
+    return reduce(or_, [one(*x) for x in patterns.items()])
 
 
 def sentences_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?…])[”\"’']?\s+|\n"), lambda s: F.trim(s)), lambda s: s != "")
+    """Rough sentences without their end marks."""
+    return F.filter(F.transform(F.split(text, r"[.!?…][”\"’']?\s+|\n"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def alike(text: Column) -> Column:
+    """A text whose numbers and cases are made alike."""
+    return F.regexp_replace(F.translate(F.lower(text), "012345678", "999999999"), "9+", "9")
 
 
 def low_filler(text: Column) -> Column:
@@ -80,11 +110,13 @@ def low_filler(text: Column) -> Column:
     def filler(line: Column) -> Column:
         w = F.transform(words(line), lambda x: F.regexp_replace(x, r"\.+$", ""))
         known = F.size(F.filter(w, lambda x: F.array_contains(blind, x)))
-        alike = (F.size(words(line)) >= 8) & (F.size(F.array_distinct(words(line))) <= 2)
-        return ((known >= 6) & (known * 2 >= F.size(w))) | alike
+        same = (F.size(words(line)) >= 8) & (F.size(F.array_distinct(words(line))) <= 2)
+        return ((known >= 6) & (known * 2 >= F.size(w))) | same
 
-    # Only lines that can be filler are taken apart.
-    suspect = text.rlike(r"(?i)\b(?:ipsum|dolor|vestibulum|pellentesque|nostrud|laboris|ullamco|fugiat|cillum|veniam|mattis)\b") | text.rlike(r"(?im)(\S+) \1 \1 \1")
+    # Only texts that can hold such a line are taken apart: half of the words of a blind line are common ones of the passage.
+    small = F.lower(text)
+    suspect = reduce(or_, [small.contains(w) for w in ("ipsum", "vestibulum", "pellentesque", "nostrud", "laboris", "ullamco", "fugiat", "cillum", "veniam", "consequat", "cupidatat", "exercitation", "deserunt", "aliqua")])
+    suspect = suspect | text.rlike(r"(?im)^\W*(\S{1,40}) +\1 +\1\b|^\W*(\S{1,40}) +\2 +\2 ")
     return F.when(suspect, F.exists(F.split(text, r"\n"), filler)).otherwise(F.lit(False))
 
 
@@ -103,8 +135,8 @@ def find_residue(snapshots: DataFrame, stories: int = 3, share: float = 0.9) ->
     title, text = F.col("title"), F.col("text")
     quoted_marks = F.regexp_extract_all(text, F.lit(f"[{_QUOTES}]({MARK})[{_QUOTES}]"), F.lit(1))
     in_title = F.regexp_extract(title, f"({MARK})", 1)
-    marks = _unquoted(text, MARK) | _unquoted(text, TRACE)
-    title_marks = (in_title != "") & _unquoted(title, MARK) & ~F.array_contains(quoted_marks, in_title)
+    marks = _unquoted(text, MARKS) | _unquoted(text, TRACES)
+    title_marks = F.when(in_title == "", False).otherwise(_unquoted(title, MARKS) & ~F.array_contains(quoted_marks, in_title))
     low = (F.length(text) <= LOW) & (text != "")
     head = s.select(
         "*",
@@ -114,11 +146,11 @@ def find_residue(snapshots: DataFrame, stories: int = 3, share: float = 0.9) ->
         low.alias("low"),
     )
     # Sentences of every text; those of short texts are judged by where else they stand.
-    each = s.select("host", "story", low.alias("low"), F.explode(F.array_distinct(F.transform(sentences_of(text), lambda x: F.xxhash64(template(x))))).alias("t"))
+    each = s.select("host", "story", low.alias("low"), F.explode(F.array_distinct(F.transform(sentences_of(alike(text)), lambda x: F.xxhash64(x)))).alias("t"))
     counted = each.groupBy("host", "t", "story").agg(F.min(F.col("low").cast("int")).alias("low")).groupBy("host", "t").agg(F.count("*").alias("n"), F.sum("low").alias("k"))
     served = counted.where((F.col("n") >= stories) & (F.col("k") >= share * F.col("n"))).select("host", "t", F.lit(True).alias("served"))
     short = head.where("low").select("snapshot_id", "host", "title", "slug", "text", F.posexplode(sentences_of(text)).alias("i", "x"))
-    short = short.withColumn("t", F.xxhash64(template(F.col("x")))).withColumn("notice", F.col("x").rlike(NOTICE) & ~F.col("x").rlike(f"[{_QUOTES}][^{_QUOTES}]*{NOTICE}[^{_QUOTES}]*[{_QUOTES}]"))
+    short = short.withColumn("t", F.xxhash64(alike(F.col("x")))).withColumn("notice", F.col("x").rlike(NOTICE) & ~F.col("x").rlike(f"[{_QUOTES}][^{_QUOTES}]*{NOTICE}[^{_QUOTES}]*[{_QUOTES}]"))
     furniture = ~F.regexp_replace("x", FURNITURE, " ").rlike(r"[\p{L}\p{N}]")
     judged = short.join(served, ["host", "t"], "left").groupBy("snapshot_id").agg(
         F.max("notice").alias("notice"),
