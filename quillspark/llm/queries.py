@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.clusters import cluster_vectors
+from quillspark.llm.mainbody import story_blocks
 from quillspark.llm.names import link_names, name_pairs
 from quillspark.llm.neighbours import nearest
 from quillspark.llm.residue import find_residue
@@ -37,6 +38,12 @@ def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_vectors(table(spark, folder, "article_embeddings"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    snapshots = table(spark, folder, "article_snapshots")
+    residue = find_residue(snapshots).where("residue").select("snapshot_id")
+    return story_blocks(snapshots, table(spark, folder, "raw_article_snapshots"), residue).select("snapshot_id", "block_key")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     n = nearest(table(spark, folder, "article_embeddings"))
     a, b = F.col("content_sha256"), F.col("neighbour_sha256")
@@ -84,7 +91,7 @@ pairs AS (
 links AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence}
 SQL = {
     "p1_found": _RUNS_SQL + "SELECT story_id, surface, started_us, ended_us FROM runs WHERE observations >= 2",
     "p3_found": _SIMILAR_SQL
