@@ -68,7 +68,7 @@ def sample_pivots(rows: DataFrame) -> np.ndarray:
     hashed = rows.select(F.xxhash64("embedding").alias("h"), "embedding")
     n = hashed.agg(F.approx_count_distinct("h", 0.02)).head()[0]
     share = min(1.0, pivot_count(n) / max(n, 1))
-    limit = -(2**63) + int(share * (2**64 - 1))
+    limit = min(2**63 - 1, -(2**63) + int(share * 2**64))
     found = hashed.where(F.col("h") <= limit).dropDuplicates(["h"]).orderBy("h").limit(2 * MAX_PIVOTS).toPandas()
     if found.empty:
         found = hashed.orderBy("h").limit(16).toPandas()
