@@ -11,6 +11,7 @@ from quillspark.llm.names import link_names, name_pairs
 from quillspark.llm.neighbours import nearest
 from quillspark.llm.residue import find_residue
 from quillspark.llm.runs import collapse_runs
+from quillspark.llm.sentences import sentences
 from quillspark.sources.tables import table
 
 
@@ -62,6 +63,10 @@ def p6_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return find_residue(table(spark, folder, "article_snapshots"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents")).select("doc_id", "sent_start", "sent_end")
+
+
 _RUNS_SQL = """
 WITH RECURSIVE o AS (
   SELECT story_id, surface, epoch_us(observed_at) AS us, min(position)::INT AS p FROM observations
@@ -91,7 +96,7 @@ pairs AS (
 links AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence, "p10_found": p10_found}
 SQL = {
     "p1_found": _RUNS_SQL + "SELECT story_id, surface, started_us, ended_us FROM runs WHERE observations >= 2",
     "p3_found": _SIMILAR_SQL
