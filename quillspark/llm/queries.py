@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.clusters import cluster_vectors
 from quillspark.llm.mainbody import story_blocks
+from quillspark.llm.mixing import select_mix, share_report
 from quillspark.llm.names import link_names, name_pairs
 from quillspark.llm.neighbours import nearest
+from quillspark.llm.packing import fill_report, pack
 from quillspark.llm.residue import find_residue
 from quillspark.llm.runs import collapse_runs
 from quillspark.llm.sentences import sentences
@@ -63,6 +65,23 @@ def p6_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return find_residue(table(spark, folder, "article_snapshots"))
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), table(spark, folder, "pack_plans"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    plans = table(spark, folder, "pack_plans")
+    return fill_report(pack(table(spark, folder, "documents"), plans), plans)
+
+
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return share_report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents")).select("doc_id", "sent_start", "sent_end")
 
@@ -96,7 +115,7 @@ pairs AS (
 links AS (SELECT a, b, s FROM pairs UNION ALL SELECT b, a, s FROM pairs),
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_found": p6_found, "p6_evidence": p6_evidence, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL = {
     "p1_found": _RUNS_SQL + "SELECT story_id, surface, started_us, ended_us FROM runs WHERE observations >= 2",
     "p3_found": _SIMILAR_SQL
