@@ -3,11 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark import schemas
 from quillspark.session import use_utc
+from quillspark.sinks.tables import exists
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     use_utc(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def read_prefix(spark: SparkSession, root: str, name: str, required: bool = False) -> DataFrame:
+    """Base and shards of table ``name`` below ``root`` (S1-S6), in its declared schema; missing columns are null.
+
+    A missing optional table is an empty one of the declared schema. Day partitions prune by their year, month and day.
+    """
+    use_utc(spark)
+    schema = schemas.TABLES[name]
+    paths = [p for p in (f"{root}/{name}", f"{root}/{name.replace('/', '--')}.parquet", f"{root}/{name}.parquet") if exists(spark, p)]
+    if not paths:
+        if required:
+            raise FileNotFoundError(f"{root} has no {name}")
+        return spark.createDataFrame([], schema)
+    out = None
+    for i, path in enumerate(dict.fromkeys(paths)):
+        df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
+        part = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]).withColumn("_layer", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("_layer")
+
+
+def load_tables(spark: SparkSession, root: str, required: tuple[str, ...] = ("observations",)) -> dict[str, DataFrame]:
+    """All declared tables below ``root``."""
+    return {name: read_prefix(spark, root, name, name in required) for name in schemas.TABLES}
+
+
+def register(tables: dict[str, DataFrame]) -> None:
+    """Tables as views for SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def load_index(spark: SparkSession, path: str, dim: int = 384) -> DataFrame:
+    """A published index; an error if a vector has another size."""
+    df = spark.read.parquet(path)
+    return df.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector hasn't {dim} numbers"))))
+
+
+def load_json(spark: SparkSession, path: str) -> DataFrame:
+    """A published JSON mart."""
+    return spark.read.json(path)
+
+
+def catalog_counts(spark: SparkSession, names: list[str]) -> DataFrame:
+    """``name, rows`` of catalog tables; an error names those that don't exist."""
+    unknown = [n for n in names if not spark.catalog.tableExists(n)]
+    if unknown:
+        raise ValueError("unknown tables: " + ", ".join(sorted(unknown)))
+    out = None
+    for n in names:
+        one = spark.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
