@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import written
+
 RUN = "struct<anchor:int,started:bigint,ended:bigint,n:bigint>"
 
 
@@ -91,6 +93,8 @@ def collapse_runs(observations: DataFrame, tolerance: int = 1, max_gap_minutes:
     slots = runs.groupBy("story_id", "surface", "slot").agg(F.array_sort(F.collect_list(F.struct("started", "ended", "value", "n"))).alias("runs"))
     shifts = range(-tolerance, tolerance + 1)
     slots = slots.select("story_id", "surface", "slot", F.element_at("runs", 1)["value"].alias("first"), F.array(*[_fold(F.col("runs"), s, tolerance, gap) for s in shifts]).alias("folds"))
+    # Read twice below: for the fold over slots and for its choice.
+    slots = written(slots)
 
     last = lambda f: F.transform("folds", lambda x: F.element_at(x, -1)[f])
     heads = slots.select(
