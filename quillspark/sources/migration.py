@@ -49,7 +49,8 @@ def legacy_rows(spark: SparkSession, folder: str) -> DataFrame:
             for path, name, digest, content in zip(b["path"], b["name"], b["digest"], b["content"], strict=True):
                 rows = list(csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"))))
                 if rows:
-                    d = pd.DataFrame(rows).reindex(columns=["timestamp", "rank", "position", "title", "link"])
+                    d = pd.DataFrame(rows).reindex(columns=["timestamp", "rank", "position", "title", "link"]).astype(object)
+                    d = d.where(d.notna(), None)
                     yield d.assign(source=f"{path}!{name}", digest=digest, ordinal=range(len(d)))[["source", "digest", "ordinal", "timestamp", "rank", "position", "title", "link"]]
 
     return payloads(spark, folder, ".csv").mapInPandas(run, "source string, digest string, ordinal long, timestamp string, rank string, position string, title string, link string")
