@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +29,33 @@ def build_session(master: str | None = None, name: str = "quillspark", **conf: s
     return builder.config(map=DEFAULTS | conf).getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Dates and formatted times follow the session zone, so every entry point forces UTC."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that they needn't find it on a path of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="quillspark-package-")) / "quillspark.zip"  # read by the driver only, which serves it
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name) / f.relative_to(root)))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query needs. Dates and formatted times follow the session zone, so it is UTC."""
+    ship_package(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; a local one only where it is unset and Spark runs in one process."""
+    ship_package(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schemas
-from quillspark.session import use_utc
+from quillspark.session import prepare
 from quillspark.sinks.tables import exists
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -21,7 +21,7 @@ def read_prefix(spark: SparkSession, root: str, name: str, required: bool = Fals
 
     A missing optional table is an empty one of the declared schema. Day partitions prune by their year, month and day.
     """
-    use_utc(spark)
+    prepare(spark)
     schema = schemas.TABLES[name]
     paths = [p for p in (f"{root}/{name}", f"{root}/{name.replace('/', '--')}.parquet", f"{root}/{name}.parquet") if exists(spark, p)]
     if not paths:
