@@ -35,6 +35,12 @@ def test_links_variants_and_keeps_others_apart(spark):
         assert {alone} in got
 
 
+def test_an_initial_isnt_another_name(spark):
+    got = classes(spark, [(["Dorothy Helatondale", "Kofi Helatondale", "Kofi D. Helatondale", "Dot Helatondale", "K. Helatondale", "K. D. Helatondale"], None), (["Kofi Baresen", "Dorothy Vonamley", "Dorothy Kisep"], None)])
+    assert {"Dorothy Helatondale", "Dot Helatondale"} in got
+    assert {"Kofi Helatondale", "Kofi D. Helatondale", "K. Helatondale", "K. D. Helatondale"} in got
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], schemas.STORY_SIGNALS)
     assert N.link_names(empty).count() == 0
