@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import written
+
 
 def row_hash(columns: list[str]) -> Column:
     """A 64-bit hash of the canonical form of ``columns``: each value as text, with nulls told apart from any text."""
@@ -89,7 +91,8 @@ def list_changes(observations: DataFrame, runs: DataFrame, max_gap_hours: int =
     """
     o = observations.select("scrape_id", "surface", "story_id", "position", "observed_at").where("scrape_id is not null and surface is not null and story_id is not null and observed_at is not null")
     o = o.join(succeeded_scrapes(runs), "scrape_id", "left_semi")
-    rows = o.groupBy("scrape_id", "surface", "story_id").agg(F.min("position").alias("position"), F.min("observed_at").alias("observed_at"))
+    # Read three times below: for the snapshots and as the later and the earlier side.
+    rows = written(o.groupBy("scrape_id", "surface", "story_id").agg(F.min("position").alias("position"), F.min("observed_at").alias("observed_at")))
     snapshots = rows.groupBy("scrape_id").agg(F.min("observed_at").alias("observed_at"))
     pairs = previous_snapshots(snapshots, "scrape_id", "observed_at", max_gap_hours * 3600)
     diff = diff_snapshots(rows, pairs, "scrape_id", ["surface", "story_id"], ["position"])
