@@ -119,3 +119,8 @@ def split_authors(text: Column) -> Column:
 
 def searchable(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
+
+
+def search_link(base: str, query: Column) -> Column:
+    """A link with an encoded query."""
+    return F.concat(F.lit(base), F.url_encode(query))

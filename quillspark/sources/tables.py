@@ -68,3 +68,13 @@ def catalog_counts(spark: SparkSession, names: list[str]) -> DataFrame:
         one = spark.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def read_day(spark: SparkSession, path: str, name: str, day: str) -> DataFrame:
+    """One day of a table stored by day partitions, read by partition filters only; empty if there is none."""
+    prepare(spark)
+    schema = schemas.TABLES[name]
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    df = spark.read.parquet(path)
+    return df.where((F.col("year").cast("int") == int(day[:4])) & (F.col("month").cast("int") == int(day[5:7])) & (F.col("day").cast("string") == day)).select(*schema.names)

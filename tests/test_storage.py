@@ -133,3 +133,24 @@ def test_rate_limit(spark):
     df = spark.createDataFrame(rows, "client string, at timestamp, n long")
     got = {r["n"]: r["admitted"] for r in rate_limit.admit_batch(df, "client", "at", "n").collect()}
     assert [got[i] for i in range(9)] == [True] * 5 + [False, True, True, True] and got[99]
+
+
+def test_checkpoint_survives_and_clears_failures(spark, tmp_path):
+    from quillspark.operators.checkpoint import Checkpoint
+
+    c = Checkpoint(spark, str(tmp_path / "cp"))
+    assert c.failures().count() == 0
+    c.record_failures(spark.createDataFrame([("a", "x" * 3000), ("b", "down")], "content_sha256 string, error string"))
+    c.record(spark.createDataFrame([("a", 1)], "content_sha256 string, n int"))
+    c.record(spark.createDataFrame([("a", 2), ("c", 3)], "content_sha256 string, n int"))
+    again = Checkpoint(spark, str(tmp_path / "cp"))
+    assert {tuple(r) for r in again.results("content_sha256 string, n int").collect()} == {("a", 2), ("c", 3)}
+    assert {r["content_sha256"] for r in again.failures().collect()} == {"b"}
+
+
+def test_one_day(spark, tmp_path):
+    path = str(tmp_path / "o")
+    K.upsert_days(obs(spark, [(0, 1, "a"), (1, 1, "b")]), path, schemas.KEYS["observations"], "observed_at")
+    assert [r["title"] for r in S.read_day(spark, path, "observations", "2024-01-02").collect()] == ["b"]
+    assert S.read_day(spark, path, "observations", "2025-01-02").count() == 0
+    assert S.read_day(spark, str(tmp_path / "none"), "observations", "2025-01-02").count() == 0
