@@ -3,7 +3,8 @@
 Vectors are represented by their nearest pivots in order and posted in those pivots' inverted files. In a posting list, a
 vector's candidates are ranked by Spearman's footrule between the orders, and its shortlist is linked. Linked vectors
 are brought together once, with their vectors, and reranked there by exact cosines. Where one link component is larger
-than a block, its vectors are brought to their posting lists instead and each list reranks its own shortlist.
+than a block, it is cut into blocks and each pair of blocks is reranked by itself, so that all its pairs are compared
+whatever its size; that work grows with the square of the component.
 """
 
 from __future__ import annotations
@@ -60,14 +61,14 @@ def nearest(embeddings: DataFrame, k: int = 5, threshold: float = 0.78, lists: i
     rows = V.usable_rows(embeddings)
     sig = V.signatures(rows, lists)
     roots = V.components(V.candidate_links(sig, threshold, shortlist))
-    linked = sig.join(roots, "id").select("id", "sha", "at", "vh", "root", "near")
+    linked = sig.join(roots, "id").select("id", "sha", "at", "vh", "root")
     sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
     placed = written(linked.join(sizes, "root"))
-    small = V.with_vectors(rows, placed.where(F.col("n") <= block).drop("near")).select("root", "sha", "vector").repartition("root").sortWithinPartitions("root")
+    small = V.with_vectors(rows, placed.where(F.col("n") <= block)).select("root", "sha", "vector").repartition("root").sortWithinPartitions("root")
     out = small.mapInPandas(V.grouped("root", rerank(k, threshold)), OUT)
     if placed.where(F.col("n") > block).take(1):
-        large = V.with_vectors(rows, placed.where(F.col("n") > block)).select("root", "id", "sha", "vector", F.explode("near").alias("pivot"))
-        cells = V.in_block_pairs(large, ["root", "pivot"], "id", block)
-        out = out.unionByName(cells.groupBy("root", "pivot", "a", "b").applyInPandas(rerank(k, threshold), OUT).distinct())
+        large = V.with_vectors(rows, placed.where(F.col("n") > block)).select("root", "id", "sha", "vector")
+        cells = V.in_block_pairs(written(large), ["root"], "id", block)
+        out = out.unionByName(cells.groupBy("root", "a", "b").applyInPandas(rerank(k, threshold), OUT))
     by = Window.partitionBy("sha").orderBy(F.col("similarity").desc(), "other")
     return out.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select(F.col("sha").alias("content_sha256"), F.col("other").alias("neighbour_sha256"), "similarity", "place")

@@ -72,6 +72,18 @@ def test_neighbours_equal_brute_force(spark, block):
     assert block != 4096 or got == want
 
 
+def test_neighbours_of_a_component_above_the_block_equal_brute_force(spark):
+    x = sample(4, groups=3, noise=0.5, hot=1500)  # a component of some 1,500 vectors, each similar to about the whole group
+    _, s = groups_of(x)
+    want = set()
+    for i in range(len(x)):
+        best = sorted((-round(s[i, j], 12), j) for j in range(len(x)) if j != i and s[i, j] >= 0.78)[:5]
+        want |= {(f"c{i:04d}", f"c{j:04d}", p) for p, (_, j) in enumerate(best, 1)}
+    got = [(r["content_sha256"], r["neighbour_sha256"], r["place"]) for r in neighbours.nearest(frame(spark, x), block=200).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+
+
 def test_unusable_rows_and_newest(spark):
     v = np.eye(384, dtype=np.float32)
     later = datetime(2024, 2, 1, tzinfo=timezone.utc)
