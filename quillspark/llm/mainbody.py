@@ -1,22 +1,25 @@
 """The story's own body on pages that mix it with other parts.
 
 Wrapper induction, per host. Pages are read into blocks, each with its slot: the path of tags to it, without values that
-differ from build to build. DOM trees of pages with one layout are aligned by simple tree matching; nodes whose text
-stays the same are template. Slots that vary can hold the story or lists of other stories, so a second alignment tells
+differ from build to build. All pages of a host and layout are aligned by slot; nodes whose text stays the same in most of
+their stories are template. Slots that vary can hold the story or lists of other stories, so a second alignment tells
 them apart: the saved text of a snapshot is another rendering of the same story, with other furniture. What a varying slot
-holds is content as far as it stands in both. From a bounded sample of aligned pairs two models are fitted, one for blocks
-of pages and one for lines of text where no page was kept; both are logistic regressions over hashed features.
+holds is content as far as it stands in both. From a bounded sample of a host's aligned pairs two models are fitted, one for
+blocks of pages and one for lines of text where no page was kept; both are logistic regressions over hashed features.
 
-Every snapshot is then read whole, in one pass over pages joined with texts by snapshot.
+Every page is read once into blocks; every snapshot is then read whole, over blocks joined with texts by snapshot.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import json
+import pickle
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,7 +183,7 @@ def _shape(template: str) -> str:
     return _CAPITAL.sub("C", template[:120])[:60]
 
 
-def block_features(blocks: list[tuple[str, str, str]], title: str, constant: frozenset[str] = frozenset()) -> list[list[int]]:
+def block_features(blocks: list[tuple[str, str, str]], title: str) -> list[list[int]]:
     out = []
     for text, slot, wrap in blocks:
         t = template_of(text)
@@ -188,8 +191,6 @@ def block_features(blocks: list[tuple[str, str, str]], title: str, constant: fro
         f = ["bias", f"s|{slot}|{wrap}", f"w|{wrap}", f"l|{slot.rsplit('/', 1)[-1]}|{wrap}", f"t|{t}", f"h|{_shape(t)}", f"1|{words[0].lower()}", f"2|{' '.join(words[:2]).lower()}", f"e|{text[-1]}|{min(len(text) // 30, 5)}", f"st|{slot}|{wrap}|{t[:40]}"]
         if text == title:
             f.append("title")
-        if t in constant:
-            f.append("constant")
         out.append([_h(x) for x in f])
     return out
 
@@ -273,23 +274,32 @@ def scores_of(rows: list[list[int]] | np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.array([w[r].sum() for r in rows]) if rows else np.zeros(0)
 
 
+def node_key(slot: str, text: str) -> int:
+    """A text (numbers alike) in its slot, as a signed 64-bit number."""
+    return xxhash.xxh64_intdigest(f"{slot}|{template_of(text)}") - 2**63
+
+
+def varying(blocks: list, constant: Iterable[int] | None) -> list:
+    """The blocks that aren't template."""
+    if constant is None or not len(constant):
+        return blocks
+    known = set(constant)
+    return [b for b in blocks if node_key(b[1], b[0]) not in known]
+
+
 class Wrapper:
-    """What is known of a host's pages: constant texts by layout, and the two models."""
+    """The two models of a host's pages."""
 
-    def __init__(self, constant: dict[str, frozenset[str]], blocks: np.ndarray, lines: np.ndarray, second: tuple):
-        self.constant, self.blocks, self.lines, self.second = constant, blocks, lines, second
+    def __init__(self, blocks: np.ndarray, lines: np.ndarray, second: tuple):
+        self.blocks, self.lines, self.second = blocks, lines, second
 
-    def of_page(self, page: str, text: str, title: str) -> list[str]:
-        """Body blocks in order. The page and the text must both hold a block, unless they have nothing in common."""
-        blocks = page_blocks(page)
+    def of_page(self, blocks: list, constant: Iterable[int] | None, text: str, title: str) -> list[str]:
+        """Body blocks in order, without template. The page and the text must both hold a block, unless they have nothing in common."""
         both = set(text_lines(text))
-        known = self.constant.get(layout(blocks), frozenset())
         aligned = [b for b in blocks if b[0] in both]
-        if aligned:
-            z = scores_of(block_features(aligned, title, known), self.blocks)
-            return [b[0] for b, s in zip(aligned, z, strict=True) if s > -1.0 and not is_headline(b[1])]
-        z = scores_of(block_features(blocks, title, known), self.blocks)
-        return [b[0] for b, s in zip(blocks, z, strict=True) if s > 0 and not is_headline(b[1])]
+        few = varying(aligned or blocks, constant)
+        z = scores_of(block_features(few, title), self.blocks)
+        return [b[0] for b, s in zip(few, z, strict=True) if s > (-1.0 if aligned else 0.0) and not is_headline(b[1])]
 
     def of_text(self, text: str, title: str) -> list[str]:
         lines = text_lines(text)
@@ -308,62 +318,96 @@ def layout(blocks: list[tuple[str, str, str]]) -> str:
 
 
 def induce(pages: pd.DataFrame) -> Wrapper:
-    """Fits a wrapper to aligned pairs (``article_html, article_text, title``)."""
-    read = [(page_blocks(h), text_lines(t), tidy(ti)) for h, t, ti in zip(pages["article_html"], pages["article_text"], pages["title"], strict=True)]
-    by_layout: dict[str, list] = defaultdict(list)
-    for b, _, _ in read:
-        by_layout[layout(b)].append(b)
-    constant = {k: frozenset(constant_nodes(v)) for k, v in by_layout.items() if len(v) > 2}
+    """Fits a wrapper to aligned pairs (``blocks, constant, text, title``)."""
+    read = [(varying(json.loads(b), c), text_lines(t), tidy(ti)) for b, c, t, ti in zip(pages["blocks"], pages["constant"], pages["text"], pages["title"], strict=True)]
     rows, y = [], []
     for b, lines, title in read:
         both = set(lines)
         if any(x[0] in both for x in b):
-            rows += block_features(b, title, constant.get(layout(b), frozenset()))
+            rows += block_features(b, title)
             y += [float(x[0] in both and not is_headline(x[1])) for x in b]
     w = fit_hashed(rows, np.array(y)) if rows else np.zeros(1 << BITS, np.float32)
     half: list[list] = [[], []]
     for k, (b, lines, title) in enumerate(read):
         both = set(lines)
-        z = scores_of(block_features(b, title, constant.get(layout(b), frozenset())), w)
+        z = scores_of(block_features(b, title), w)
         body = {x[0] for x, s in zip(b, z, strict=True) if x[0] in both and s > -1.0 and not is_headline(x[1])}
         if body:
             half[k % 2].append((line_features(lines, title), np.array([float(x in body) for x in lines]), lines))
     if not half[0] or not half[1]:
-        return Wrapper(constant, w, np.zeros(1 << BITS, np.float32), (np.zeros(18), np.zeros(18), np.ones(18)))
+        return Wrapper(w, np.zeros(1 << BITS, np.float32), (np.zeros(18), np.zeros(18), np.ones(18)))
     # The second model sees scores as they are for unseen texts: those of each half by the other half's weights.
     parts = [fit_hashed([list(f) for d in h for f in d[0]], np.concatenate([d[1] for d in h])) for h in half]
     x2 = np.concatenate([second_features(np.clip(scores_of(f, parts[1 - k]), -8, 8), lines) for k in (0, 1) for f, _, lines in half[k]])
     y2 = np.concatenate([d[1] for k in (0, 1) for d in half[k]])
-    return Wrapper(constant, w, (parts[0] + parts[1]) / 2, fit_dense(x2, y2))
-
-
-def _extract(wrappers) -> callable:
+    return Wrapper(w, (parts[0] + parts[1]) / 2, fit_dense(x2, y2))
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        read = [page_blocks(p) for p in b["page"]]
+        yield pd.DataFrame({
+            "snapshot_id": b["snapshot_id"],
+            "layout": [xxhash.xxh64_intdigest(layout(r)) - 2**63 for r in read],
+            "nodes": [list({node_key(slot, text) for text, slot, _ in r}) for r in read],
+            "blocks": [json.dumps(r, ensure_ascii=False) for r in read],
+        })
+
+
+def constant_of_layouts(pages: DataFrame) -> DataFrame:
+    """``host, layout, constant``: the nodes in more than half of the stories, of at least three, of a host's layout, from all its pages (``host, layout, story, nodes``)."""
+    stories = pages.groupBy("host", "layout", "story").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
+    stories = written(stories)
+    totals = stories.groupBy("host", "layout").agg(F.count("*").alias("stories")).where("stories > 2")
+    counts = stories.select("host", "layout", F.explode("nodes").alias("node")).groupBy("host", "layout", "node").agg(F.count("*").alias("n")).where("n > 1")
+    return counts.join(totals, ["host", "layout"]).where("n * 2 > stories").groupBy("host", "layout").agg(F.collect_list("node").alias("constant"))
+
+
+def _bodies(b: pd.DataFrame, w: Wrapper) -> pd.DataFrame:
+    ids, keys, texts, places = [], [], [], []
+    for sid, title, text, blocks, constant in zip(b["snapshot_id"], b["title"], b["text"], b["blocks"], b["constant"], strict=True):
+        title = tidy(title)
+        body = w.of_page(json.loads(blocks), constant, text, title) if blocks else w.of_text(text, title)
+        body = list(dict.fromkeys(body))
+        ids += [sid] * len(body)
+        keys += [block_key(x) for x in body]
+        texts += body
+        places += range(len(body))
+    return pd.DataFrame({"snapshot_id": ids, "block_key": keys, "place": places, "block": texts}, dtype=None if ids else object)
+
+
+def _extract(shared) -> callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Wrapper] = wrappers.value
         for b in batches:
-            ids, keys, texts, places = [], [], [], []
-            for sid, host, title, text, page in zip(b["snapshot_id"], b["host"], b["title"], b["text"], b["page"], strict=True):
-                w = known.get(host) or known[""]
-                title = tidy(title)
-                body = w.of_page(page, text, title) if page else w.of_text(text, title)
-                body = list(dict.fromkeys(body))
-                ids += [sid] * len(body)
-                keys += [block_key(x) for x in body]
-                texts += body
-                places += range(len(body))
-            if ids:
-                yield pd.DataFrame({"snapshot_id": ids, "block_key": keys, "place": places, "block": texts})
+            if len(body := _bodies(b, shared.value)):
+                yield body
 
     return run
 
 
-def sample_pairs(snapshots: DataFrame, pages: DataFrame, pairs: int) -> pd.DataFrame:
+def sample_pairs(pages: DataFrame, pairs: int) -> pd.DataFrame:
     """About ``pairs`` snapshots with a page, of all hosts, by the hash of their id; only they travel."""
-    total = pages.select("snapshot_id").count()
+    total = pages.count()
     limit = min(2**63 - 1, -(2**63) + int(min(1.0, pairs / max(total, 1)) * 2**64))
-    few = lambda df: df.where(F.xxhash64("snapshot_id") <= limit)
-    s = few(snapshots).select("snapshot_id", "host", "title", "text")
-    return few(pages).select("snapshot_id", "page").join(s, "snapshot_id").dropDuplicates(["snapshot_id"]).orderBy(F.xxhash64("snapshot_id"), "snapshot_id").limit(2 * pairs).toPandas()
+    few = pages.where(F.xxhash64("snapshot_id") <= limit).select("snapshot_id", "host", "title", "text", "blocks", "constant")
+    return few.dropDuplicates(["snapshot_id"]).orderBy(F.xxhash64("snapshot_id"), "snapshot_id").limit(2 * pairs).toPandas()
+
+
+def host_wrappers(pages: DataFrame, pairs: int, least: int) -> DataFrame | None:
+    """``host, wrapper``: packed wrappers of all hosts with at least ``least`` snapshots with a page, each fitted on an executor to about ``pairs`` of them. None where all pages are of one host, which the shared wrapper is fitted to."""
+    ids = pages.select("host", "snapshot_id").distinct()
+    sizes = written(ids.groupBy("host").agg(F.count("*").alias("of_host")))
+    own = sizes.where(F.col("of_host") >= least)
+    if len(sizes.take(2)) < 2 or not own.take(1):
+        return None
+    some = pages.join(own, "host").where(F.pmod(F.xxhash64("snapshot_id"), F.lit(2**40)) / F.lit(float(2**40)) * F.col("of_host") < pairs)
+    some = some.select("host", "snapshot_id", "title", "text", "blocks", "constant").dropDuplicates(["snapshot_id"])
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        w = induce(rows.sort_values("snapshot_id", ignore_index=True))
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [zlib.compress(pickle.dumps(w), 1)]})
+
+    return written(some.groupBy("host").applyInPandas(fit, "host string, wrapper binary"))
 
 
 def story_blocks(snapshots: DataFrame, raw: DataFrame, excluded: DataFrame | None = None, pairs: int = 2000, least: int = 200) -> DataFrame:
@@ -374,23 +418,39 @@ def story_blocks(snapshots: DataFrame, raw: DataFrame, excluded: DataFrame | Non
     count, a block comes out at its first place. A null text or title is empty; a snapshot without text and page has no
     block, one without id doesn't come out. An empty table gives no rows. Extra columns are ignored.
 
-    The wrapper of a host is fitted to its share of a sample of about ``pairs`` snapshots (the bound of what the driver
-    sees); hosts with fewer than ``least`` of them share one wrapper.
+    What is template is counted over all pages of a host and layout. The models of a host are fitted to about ``pairs`` of
+    its snapshots, however many hosts there are; hosts with fewer than ``least`` snapshots with a page share one wrapper,
+    fitted to about ``pairs`` of all (the bound of what the driver sees).
     """
     spark = snapshots.sparkSession
     host = F.coalesce(F.regexp_extract("canonical_url", r"^\w+://([^/]+)", 1), F.lit(""))
-    s = snapshots.where("fetch_ok and snapshot_id is not null").select("snapshot_id", host.alias("host"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("article_text", F.lit("")).alias("text"))
+    s = snapshots.where("fetch_ok and snapshot_id is not null").select("snapshot_id", host.alias("host"), F.xxhash64(F.coalesce("canonical_url", "snapshot_id")).alias("story"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("article_text", F.lit("")).alias("text"))
     p = raw.where("snapshot_id is not null and article_html <> ''").select("snapshot_id", F.col("article_html").alias("page"))
     if excluded is not None:
-        # Both the sample and the whole need it.
-        s = s.join(written(excluded.select("snapshot_id").distinct()), "snapshot_id", "left_anti")
-    got = sample_pairs(s, p, pairs).rename(columns={"page": "article_html", "text": "article_text"})
-    wrappers = {"": induce(got)}
-    for name, part in got.groupby("host"):
-        if least <= len(part) < len(got):
-            wrappers[name] = induce(part.reset_index(drop=True))
-    shared = spark.sparkContext.broadcast(wrappers)
-    both = s.join(p, "snapshot_id", "left")
-    out = both.mapInPandas(_extract(shared), "snapshot_id string, block_key string, place int, block string")
+        s = s.join(excluded.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+    read = p.mapInPandas(_parsed, "snapshot_id string, layout long, nodes array<long>, blocks string")
+    both = written(s.join(read, "snapshot_id", "left"))
+    paired = both.where("blocks is not null")
+    constant = written(constant_of_layouts(paired.select("host", "layout", "story", "nodes")))
+    both = both.drop("nodes", "story").join(constant, ["host", "layout"], "left")
+    paired = both.where("blocks is not null")
+    shared = spark.sparkContext.broadcast(induce(sample_pairs(paired, pairs)))
+    own = host_wrappers(paired, pairs, least)
+    schema = "snapshot_id string, block_key string, place int, block string"
+    columns = ["snapshot_id", "title", "text", "blocks", "constant"]
+    rest = both if own is None else both.join(own.select("host"), "host", "left_anti")
+    out = rest.select(columns).mapInPandas(_extract(shared), schema)
+    if own is not None:
+        parts = both.join(own.select("host"), "host", "left_semi").withColumn("part", F.pmod(F.xxhash64("snapshot_id"), F.lit(2**31)))
+        # A task of a host holds about 1,000 snapshots and its wrapper.
+        size = parts.groupBy("host").agg(F.ceil(F.count("*") / F.lit(1000)).alias("k"))
+        parts = parts.join(size, "host").withColumn("part", F.pmod("part", "k")).select("host", "part", *columns)
+        each = size.join(own, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), "wrapper").toDF("of_host", "of_part", "wrapper")
+        each = written(each)  # with columns of its own
+
+        def by_host(rows: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
+            return _bodies(rows, pickle.loads(zlib.decompress(wrapper["wrapper"].iloc[0])))
+
+        out = out.unionByName(parts.groupBy("host", "part").cogroup(each.groupBy("of_host", "of_part")).applyInPandas(by_host, schema))
     w = out.groupBy("snapshot_id", "block_key").agg(F.min(F.struct("place", "block")).alias("x"))
     return w.select("snapshot_id", "block_key", "x.place", "x.block")

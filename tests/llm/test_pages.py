@@ -109,3 +109,24 @@ def test_story_blocks_nulls_and_empty(spark):
     raw = spark.createDataFrame([("a", None), ("b", ""), (None, "<p>x</p>")], "snapshot_id string, article_html string")
     assert M.story_blocks(s, raw).count() == 0
     assert M.story_blocks(spark.createDataFrame([], schemas.ARTICLE_SNAPSHOTS), spark.createDataFrame([], schemas.RAW_ARTICLE_SNAPSHOTS)).count() == 0
+
+
+def test_template_of_all_pages_and_wrappers_of_many_hosts(spark):
+    s, raw, want = _snapshots(spark)
+    hosts = F.concat(F.lit("https://h"), F.expr("int(substring(snapshot_id, 2)) % 8"), F.lit(".example/news/"), "snapshot_id")
+    s = s.withColumn("canonical_url", hosts)
+    # A line that stays the same stands among the paragraphs of the page and in the saved text.
+    line = "Sign up for letters from our editors."
+    s = s.withColumn("article_text", F.concat("article_text", F.lit("\n" + line)))
+    raw = raw.withColumn("article_html", F.replace("article_html", F.lit("<p><b>Back"), F.lit(f"<p class=c>{line}</p><p><b>Back")))
+    paged = {r["snapshot_id"] for r in raw.collect()}
+    got = {}
+    for r in M.story_blocks(s, raw, pairs=40, least=15).where(F.col("snapshot_id").isin(*paged)).collect():
+        got.setdefault(r["snapshot_id"], set()).add(r["block_key"])
+    assert not any(M.block_key(line) in v for v in got.values())
+    right = sum(len(got.get(k, set()) & want[k]) for k in paged)
+    assert right >= 0.95 * sum(len(want[k]) for k in paged)
+    pages = s.join(raw, "snapshot_id").select("snapshot_id", F.regexp_extract("canonical_url", r"//([^/]+)", 1).alias("host"), "title", F.col("article_text").alias("text"), "article_html")
+    read = F.udf(lambda p: M.json.dumps(M.page_blocks(p)))
+    own = M.host_wrappers(pages.withColumns({"blocks": read("article_html"), "constant": F.array().cast("array<long>")}), 40, 15)
+    assert own.count() == 8  # 20 pages each, of which a sample of 40 of all has about 5
