@@ -5,9 +5,10 @@
 2. Tokens are joined to the tokens they may be typing errors of: a set-similarity join on positional q-grams. Within k
    typing errors at most 4k trigrams change, so two such tokens share one of their 4k + 1 rarest ones (the prefix).
 3. A spelling's rare tokens weigh more: a token's weight is its inverse document frequency, where an error counts as
-   often as the more frequent token it may stand for. Two spellings whose soft cosine reaches the threshold share one of
-   the heaviest tokens (the prefix of the weights), exactly or up to errors, so these alone bring candidates together.
-   Frequent tokens (given names, kinds of organisation) are never keys as long as there is a rarer one.
+   often as the more frequent token it may stand for. Of two spellings that mean the same, the one with fewer tokens has
+   all of them matched in the other, so its heaviest written-out token alone brings candidates together: joined to all
+   tokens it matches, be they equal, errors, nicknames or abbreviations. If it may match an initial, a second token must
+   match too.
 4. Candidates are verified token by token: equal, typing error, abbreviation, nickname or initial. Tokens left over on both
    sides mean different entities. A pair without leftovers is strong; one with an initial or a missing token is weak.
 5. Strong pairs make classes. A weak pair joins two classes only if the shorter one has no other class to belong to:
@@ -169,6 +170,62 @@ def token_match(a: str, b: str, nicks: dict[str, set[str]]) -> tuple[float, bool
     return 0.0, False
 
 
+def abbreviations(tokens: DataFrame) -> DataFrame:
+    """``a, b``: tokens ``a`` that abbreviate tokens ``b``, as ``_short_for`` has it. Both have the same first letter, and a's second and last letters in order."""
+    letter = lambda i: F.substring("token", i, 1)
+    t = tokens.where(F.length("token") > 1)
+    a = t.select(F.col("token").alias("a"), letter(1).alias("x"), letter(2).alias("y"), letter(-1).alias("z"), (F.length("token") > 2).alias("longer"))
+    later = F.expr("flatten(transform(sequence(2, length(token)), i -> transform(sequence(i, length(token)), j -> struct(substring(token, i, 1) AS y, substring(token, j, 1) AS z, j > i AS longer))))")
+    b = t.where(F.length("token") > 2).select(F.col("token").alias("b"), letter(1).alias("x"), F.explode(F.array_distinct(later)).alias("s")).select("b", "x", "s.*")
+    met = a.join(b, ["x", "y", "z", "longer"]).where(F.length("a") < F.length("b")).select("a", "b")
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x[[_short_for(p, r) for p, r in zip(x["a"], x["b"], strict=True)]]
+
+    return met.mapInPandas(verified, "a string, b string")
+
+
+def soft_matches(tokens: DataFrame, near: DataFrame, known: DataFrame) -> DataFrame:
+    """``a, b``, both ways round: all tokens that ``token_match`` gives a score, but for those of an initial and a longer token."""
+    same = tokens.select(F.col("token").alias("a"), F.col("token").alias("b"))
+    named = known.select(F.col("token").alias("a"), "b")
+    mistyped = named.select("a", F.col("b").alias("x")).join(near.select(F.col("a").alias("x"), "b"), "x").select("a", "b")
+    one_way = named.unionByName(mistyped).unionByName(abbreviations(tokens))
+    return written(same.unionByName(near).unionByName(one_way).unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+
+
+def candidates(named: DataFrame, soft: DataFrame) -> DataFrame:
+    """``ia, ib``: all pairs of spellings that ``compare`` may accept; ``named`` has ``id, readings, ws``.
+
+    Of an accepted pair one side has all its tokens matched, so the heaviest written-out token of the one with fewer tokens
+    has a match in the other. Where that match is an initial, either the other is all initials, or a second token of
+    the shorter matches a written-out one: a written-out one too, or else, with all of those matching initials, an initial. One of initials alone has them all among
+    the other's first letters.
+    """
+    r = named.select("id", "ws", F.explode("readings").alias("r")).where(F.size("r") > 0).withColumn("long", F.filter("r", lambda t: F.length(t) > 1))
+    r = r.withColumn("bare", F.size("long") == 0).withColumn("from", F.when(F.col("bare"), F.col("r")).otherwise(F.col("long")))
+    top = F.array_max(F.transform(F.filter("ws", lambda x: F.array_contains("from", x["token"])), lambda x: F.struct(x["w"].alias("w"), x["token"].alias("token"))))["token"]
+    place = F.struct(F.size("r").alias("size"), F.col("bare"), F.col("id"))
+    r = written(r.select("id", "r", "long", "bare", top.alias("top"), place.alias("place")))
+    left = r.select(F.col("id").alias("ia"), F.col("place").alias("pa"), F.col("top").alias("a"), "long", F.substring("top", 1, 1).alias("letter"))
+    right = r.select(F.col("id").alias("ib"), F.col("place").alias("pb"), F.explode(F.array_distinct("r")).alias("b"), "bare", F.filter(F.array_distinct("r"), lambda t: F.length(t) == 1).alias("initials"))
+    found = left.join(soft, "a").join(right, "b").where("pa < pb").select("ia", "ib")
+    bare = left.where("length(a) > 1").join(right.where("bare").withColumn("letter", F.col("b")), "letter").where("pa < pb").select("ia", "ib")
+    second = left.select("ia", "pa", "letter", F.explode(F.array_except("long", F.array("a"))).alias("a"))
+    initialed = right.where("length(b) > 1").select("ib", "pb", "b", F.explode("initials").alias("letter"))
+    third = second.join(soft, "a").join(initialed, ["b", "letter"]).where("pa < pb").select("ia", "ib")
+    first = lambda t: F.substring(t, 1, 1)
+    crossed = r.where("not bare").select(F.col("id").alias("ia"), F.col("place").alias("pa"), first("top").alias("letter"), F.transform("long", first).alias("firsts"), F.explode(F.filter(F.array_distinct("r"), lambda t: F.length(t) == 1)).alias("z"))
+    whole = right.where("length(b) > 1").select("ib", "pb", first("b").alias("z"), "initials", F.explode("initials").alias("letter")).distinct()
+    fourth = crossed.join(whole, ["letter", "z"]).where("pa < pb").where(F.size(F.array_except("firsts", "initials")) == 0).select("ia", "ib")
+    letters = r.where("bare").select(F.col("id").alias("ia"), F.col("place").alias("pa"), F.col("r").alias("own"), F.col("top").alias("z"))
+    starts = r.select(F.col("id").alias("ib"), F.col("place").alias("pb"), F.array_distinct(F.transform("r", first)).alias("firsts"))
+    fifth = letters.join(starts.withColumn("z", F.explode("firsts")), "z").where("pa < pb").where(F.size(F.array_except("own", "firsts")) == 0).select("ia", "ib")
+    every = found.unionByName(bare).unionByName(third).unionByName(fourth).unionByName(fifth).where("ia <> ib")
+    return every.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
+
+
 def compare(a: list[str], b: list[str], weight: dict[str, float], nicks: dict[str, set[str]]) -> tuple[float, str]:
     """Soft cosine and kind of a pair of token lists: ``strong``, ``weak`` (an initial or a missing token) or ``no``."""
     dot, sure, key, exact_key = 0.0, True, -1.0, False
@@ -240,10 +297,11 @@ def link_names(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     general = each.join(stats.where("general"), "token").select("id").distinct()
     names = base.join(general, "id", "left_anti").where(F.size(F.flatten("readings")) > 0)
 
-    near = similar_tokens(stats.select("token"))
-    more = near.join(stats.select(F.col("token").alias("b"), F.col("df").alias("dfb")), "b").groupBy(F.col("a").alias("token")).agg(F.max("dfb").alias("more"))
     # A nickname is as common as the name it stands for.
     known = spark.createDataFrame([(k, x) for k, v in nicks.items() for x in sorted(v)], "token string, b string")
+    # The names of nicknames too, as a typing error of one matches the nickname.
+    near = similar_tokens(stats.select("token").unionByName(known.select(F.col("b").alias("token"))).distinct())
+    more = near.join(stats.select(F.col("token").alias("b"), F.col("df").alias("dfb")), "b").groupBy(F.col("a").alias("token")).agg(F.max("dfb").alias("more"))
     full_df = known.join(stats.select(F.col("token").alias("b"), F.col("df").alias("dfb")), "b").groupBy("token").agg(F.max("dfb").alias("more"))
     more = more.unionByName(full_df).groupBy("token").agg(F.max("more").alias("more"))
     total = base.count()
@@ -252,14 +310,7 @@ def link_names(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     weight = weight.select("token", F.when(F.length("token") == 1, F.least("w", F.lit(0.5))).otherwise(F.col("w")).alias("w"))
     w = each.join(weight, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "token", "w"))).alias("ws"))
     named = written(names.join(w, "id").select("id", "readings", "ws"))
-    # Keys: the heaviest tokens, until what is left can't reach the threshold without one of them.
-    square = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    before = lambda i: F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    keys = named.select("id", F.explode(F.filter(F.transform("ws", lambda x, i: F.struct(x["token"].alias("token"), (square - before(i) >= (threshold**2) * square).alias("key"))), lambda x: x["key"])).alias("k"))
-    keys = keys.select("id", F.col("k.token").alias("token")).where(F.length("token") > 1)
-    joined = stats.select(F.col("token").alias("a"), F.col("token").alias("b")).unionByName(near)
-    left, right = keys.toDF("ia", "a"), keys.toDF("ib", "b")
-    pairs = left.join(joined, "a").join(right, "b").where("ia < ib").select("ia", "ib").distinct()
+    pairs = candidates(named, soft_matches(stats.select("token"), near, known))
     side = lambda s: named.select(F.col("id").alias(f"i{s}"), F.col("readings").alias(f"r{s}"), F.transform("ws", lambda x: F.struct(x["token"].alias("t"), x["w"].alias("w"))).alias(f"w{s}"))
     links = written(pairs.join(side("a"), "ia").join(side("b"), "ib").mapInPandas(_verify(nicks, threshold), "ia long, ib long, kind string, sim double"))
 

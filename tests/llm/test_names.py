@@ -72,3 +72,35 @@ def test_reading():
     assert N.read("Prof. Anthony “Tony” Smith-Jones (ASJ)") == ([["anthony", "smith", "jones"], ["anthony", "smithjones"]], "tony anthony")
     assert N.read("Dr")[0] == [["dr"]]
     assert N.read("...")[0] == [[]]
+
+
+def test_given_names_of_a_frequent_surname_meet(spark):
+    # The surname is in nearly all spellings, so given names are the only heavy tokens.
+    others = [f"{chr(97 + i % 26)}{'aeiou'[i % 5]}{chr(98 + i // 26)}bokul Smith" for i in range(60)]
+    got = classes(spark, [([*others, "Hetty Smith", "Henrietta Smith", "Wm Smith", "William Smith", "Quentin Smith", "Q. Smith"], None)])
+    for same in ({"Hetty Smith", "Henrietta Smith"}, {"Wm Smith", "William Smith"}, {"Quentin Smith", "Q. Smith"}):
+        assert same in got
+
+
+def test_candidates_hold_all_that_brute_force_accepts(spark):
+    import random
+
+    rnd = random.Random(8)
+    given, last = "henrietta hetty henrieta h william wm will w j s".split(), "smith smth smiht sm jones jnes s j".split()
+    spelled = sorted({tuple(rnd.sample(given, rnd.randint(0, 2)) + rnd.sample(last, rnd.randint(1, 2))) for _ in range(160)})
+    weight = {t: 0.5 if len(t) == 1 else 1.0 + rnd.random() * 5 for t in {*given, *last}}
+    nicks = {k: set(v.split()) for k, v in N.NICKNAMES.items()}
+    known = spark.createDataFrame([(k, x) for k, v in nicks.items() for x in v], "token string, b string")
+    tokens = spark.createDataFrame([(t,) for t in weight], "token string")
+    near = N.similar_tokens(tokens.union(known.select("b")).distinct())
+    rows = [(i, [list(s)], [(-weight[t], t, weight[t]) for t in set(s)]) for i, s in enumerate(spelled)]
+    named = spark.createDataFrame(rows, "id long, readings array<array<string>>, ws array<struct<o double, token string, w double>>")
+    got = {(r["ia"], r["ib"]) for r in N.candidates(named, N.soft_matches(tokens, near, known)).collect()}
+    want = set()
+    for i, a in enumerate(spelled):
+        for j in range(i + 1, len(spelled)):
+            sim, kind = N.compare(list(a), list(spelled[j]), weight, nicks)
+            if kind != "no" and sim >= 0.5:
+                want.add((i, j))
+    assert len(want) > 100
+    assert not [(spelled[i], spelled[j]) for i, j in sorted(want - got)]
