@@ -8,8 +8,10 @@
 3. Clusters are put together into groups where any two members are similar, checked in double precision.
 
 A component of up to ``block`` vectors is one block of exact arithmetic. A larger one (a third of all rows may be near
-copies) is cut into chunks that are absorbed by pivots side by side; pivots are then compared with each other, and
-members outside the largest group with all blocks, so the groups are the same as if all pairs had been compared.
+copies) is cut into chunks. For groups, these are absorbed by pivots side by side; pivots are then compared with each
+other, and members outside the largest group with all blocks, so the groups are the same as if all pairs had been
+compared. For clusters, pivots are taken a block at a time in the hash order and absorb members in all chunks, so pivots,
+members and places are the same too.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import vectors as V
-from quillspark.session import written
+from quillspark.session import drop_written, written
 
 BLOCK = 4096
 OUT = "sha string, pivot string, anchor string, similarity double, size long, place long, group_key string"
@@ -127,6 +129,67 @@ def exact_links(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return work
 
 
+def _take_prefix(threshold: float) -> Callable:
+    """The pivots of the first rows of a component that are left."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sha", ignore_index=True)
+        pivot = pivots_by_rounds(neighbours(V.unit([V.unpack(b) for b in rows["vector"]]), threshold), hash_order(rows["sha"].to_numpy()))
+        fresh = np.unique(pivot)
+        return pd.DataFrame({"root": rows["root"].to_numpy()[fresh], "id": rows["id"].to_numpy()[fresh], "vector": rows["vector"].to_numpy()[fresh]})
+
+    return work
+
+
+def _pivots_by_prefix(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``id`` of the pivots of components larger than a block; the same as if each were one block.
+
+    In rounds, the first block of a component by the hash order gives its pivots, and what they absorb drops out all over the
+    component, until nothing is left.
+    """
+
+    def hashes(batches):
+        for b in batches:
+            yield b.assign(h=[xxhash.xxh64_intdigest(x) - 2**63 for x in b["sha"]])
+
+    left = written(vecs.select("id", "sha", "root", "chunk", "vector").mapInPandas(hashes, "id long, sha string, root long, chunk long, vector binary, h long"))
+
+    def rest(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) and len(pivots):
+            x, p = V.unit([V.unpack(b) for b in rows["vector"]]), V.unit([V.unpack(b) for b in pivots["pv"]])
+            far = np.concatenate([(x[s : s + 512] @ p.T).max(axis=1) < threshold for s in range(0, len(x), 512)])
+            rows = rows[far & ~rows["id"].isin(pivots["to"]).to_numpy()]
+        return rows
+
+    found = None
+    while left.take(1):
+        w = Window.partitionBy("root").orderBy("h", "sha")
+        prefix = left.join(left.select("root", "id", "h", "sha").withColumn("i", F.row_number().over(w)).where(F.col("i") <= block).select("id"), "id", "left_semi")
+        fresh = written(prefix.groupBy("root").applyInPandas(_take_prefix(threshold), "root long, id long, vector binary"))
+        found = fresh.select("id") if found is None else found.unionByName(fresh.select("id"))
+        parts = left.select("root", "chunk").distinct().join(fresh, "root").select(F.col("root").alias("of_root"), F.col("chunk").alias("of_chunk"), F.col("id").alias("to"), F.col("vector").alias("pv"))
+        old, left = left, written(left.groupBy("root", "chunk").cogroup(written(parts).groupBy("of_root", "of_chunk")).applyInPandas(rest, left.schema))
+        drop_written(old)
+    return found
+
+
+def places(score: DataFrame, cell: int = 50_000) -> DataFrame:
+    """``id, place``: the order of each member (``id, sha, to, score``) in its cluster by score, the greatest first, equal ones by the smaller content.
+
+    Scores of a large cluster are cut into stretches; places within these are added to prefix sums of their counts, so no
+    cluster is sorted in one task.
+    """
+    s = score.select("id", "sha", "to", "score")
+    of = s.groupBy("to").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.ceil(F.count("*") / F.lit(cell)).alias("k"))
+    at = F.when((F.col("k") > 1) & (F.col("high") > F.col("low")), F.floor((F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * F.col("k") * 16)).otherwise(0)
+    s = s.join(of, "to").select("id", "sha", "to", "score", at.cast("long").alias("c"))
+    counts = s.groupBy("to", "c").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("to").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("to", "c", before.alias("before"))
+    i = F.row_number().over(Window.partitionBy("to", "c").orderBy(F.col("score").desc(), "sha"))
+    return s.withColumn("i", i).join(counts, ["to", "c"]).select("id", (F.col("before") + F.col("i")).cast("long").alias("place"))
+
+
 def _cluster_large(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
     """Clusters and groups of components larger than a block; ``vecs`` has ``id, sha, root, n, vector``."""
     vecs = written(vecs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block)))))
@@ -152,17 +215,17 @@ def _cluster_large(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
     keys = groups.groupBy("part").agg(F.min("sha").alias("group_key"))
     groups = groups.join(keys, "part").select("id", "group_key")
 
-    # Pivots of chunks absorb each other once more; then members go to the closest of those that are left.
-    final = V.in_block_pairs(heads, ["root"], "id", block).where("a = b").join(vecs.select("id", "sha"), "id").withColumn("chunk", F.col("a").cast("long"))
-    kept = final.groupBy("root", "chunk").applyInPandas(_absorb(threshold), "id long, to long, chunk long").where("id = to").select("id")
-    kept = heads.join(kept, "id", "left_semi").select("root", F.col("id").alias("to"), F.col("vector").alias("pv"))
+    kept = _pivots_by_prefix(vecs, threshold, block)
+    kept = vecs.join(kept, "id", "left_semi").select("root", F.col("id").alias("to"), F.col("sha").alias("psha"), F.col("vector").alias("pv"))
     own = vecs.select("id", "sha", "root", "chunk", "vector")
-    chunks = written(own.select("root", "chunk").distinct().join(kept, "root").select(F.col("root").alias("of_root"), F.col("chunk").alias("of_chunk"), "to", "pv"))
+    chunks = written(own.select("root", "chunk").distinct().join(kept, "root").select(F.col("root").alias("of_root"), F.col("chunk").alias("of_chunk"), "to", "psha", "pv"))
 
     def closest(key: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"id": [], "sha": [], "to": [], "vector": []})
+        pivots = pivots.sort_values("psha", ignore_index=True)  # of equally close ones the smaller content, as in a block
         x, p = V.unit([V.unpack(b) for b in rows["vector"]]), V.unit([V.unpack(b) for b in pivots["pv"]])
+        # Each row has a similar pivot, or is one, so the closest is similar.
         at = np.concatenate([(x[s : s + 512] @ p.T).argmax(axis=1) for s in range(0, len(x), 512)])
         return pd.DataFrame({"id": rows["id"], "sha": rows["sha"], "to": pivots["to"].to_numpy()[at], "vector": rows["vector"]})
 
@@ -183,7 +246,7 @@ def _cluster_large(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "sha": b["sha"], "to": b["to"], "vector": b["vector"], "score": np.round((x * np.stack(b["total"].to_list())).sum(axis=1), 9)})
 
     score = written(placed.join(total, "to").mapInPandas(scored, "id long, sha string, to long, vector binary, score double"))
-    anchors = score.groupBy("to").agg(F.max_by(F.struct(F.col("sha").alias("anchor"), F.col("vector").alias("av")), F.struct("score", F.col("id"))).alias("m"), F.count("*").alias("size")).select("to", "m.*", "size")
+    anchors = score.groupBy("to").agg(F.min_by(F.struct(F.col("sha").alias("anchor"), F.col("vector").alias("av")), F.struct(-F.col("score"), F.col("sha"))).alias("m"), F.count("*").alias("size")).select("to", "m.*", "size")
 
     def similar(batches):
         for b in batches:
@@ -192,16 +255,14 @@ def _cluster_large(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
 
     done = score.join(anchors, "to").mapInPandas(similar, "to long, id long, sha string, score double, anchor string, size long, similarity double")
     heads_sha = vecs.select(F.col("id").alias("to"), F.col("sha").alias("pivot"))
-    place = F.when(F.col("sha") == F.col("anchor"), 1).cast("long")
-    return done.join(heads_sha, "to").join(groups, "id").select("sha", "pivot", "anchor", "similarity", "size", place.alias("place"), "group_key")
+    return done.join(heads_sha, "to").join(places(score), "id").join(groups, "id").select("sha", "pivot", "anchor", "similarity", "size", "place", "group_key")
 
 
 def cluster_vectors(embeddings: DataFrame, threshold: float = 0.78, lists: int = 6, block: int = BLOCK) -> DataFrame:
     """One row per content: ``content_sha256, cluster_id, cluster_size, anchor_sha256, similarity_to_anchor, place, group_key, group_size``.
 
     Usable vectors have exactly 384 finite numbers, not all zero; each content counts with its newest usable row, repeated
-    rows once. ``anchor`` is the most typical member and ``place`` its order by typicality (null beyond the anchor in
-    clusters from components larger than a block). ``group_key`` is the smallest content of all that are linked by
+    rows once. ``anchor`` is the most typical member and ``place`` a member's order by typicality. ``group_key`` is the smallest content of all that are linked by
     similarity, directly or through others. A content like no other is a cluster of its own. Contents without a usable
     vector don't come out; an empty table gives no rows. Extra columns are ignored.
     """

@@ -59,6 +59,24 @@ def test_groups_equal_connected_components(spark, block):
     assert all(sizes[r["cluster_id"]] == r["cluster_size"] for r in got.values())
 
 
+def test_clusters_above_the_block_equal_those_within(spark):
+    x = sample(6, groups=8, noise=0.53, hot=300)  # similarities in the hot group are on both sides of the threshold
+    got = [{r["content_sha256"]: r for r in clusters.cluster_vectors(frame(spark, x), block=b).collect()} for b in (4096, 48)]
+    for k, r in got[0].items():
+        o = got[1][k]
+        assert (o["anchor_sha256"], o["cluster_id"], o["cluster_size"], o["place"], o["group_key"]) == (r["anchor_sha256"], r["cluster_id"], r["cluster_size"], r["place"], r["group_key"])
+    assert len({r["cluster_id"] for r in got[0].values() if r["group_size"] > 48}) > 1
+
+
+def test_places_in_stretches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"c{i:03d}", i % 3, float(np.round(v, 1))) for i, v in enumerate(rng.random(300))]
+    df = spark.createDataFrame(rows, "id long, sha string, to long, score double")
+    want = {r[0]: p for t in range(3) for p, r in enumerate(sorted((r for r in rows if r[2] == t), key=lambda r: (-r[3], r[1])), 1)}
+    for cell in (10, 50_000):
+        assert {r["id"]: r["place"] for r in clusters.places(df, cell).collect()} == want
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_neighbours_equal_brute_force(spark, block):
     x = sample(2)
