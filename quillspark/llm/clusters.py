@@ -3,15 +3,15 @@
 1. Signatures and posting lists bring together what may be similar (see ``vectors``); a link component holds every vector
    that a member of it is similar to.
 2. In a component, vectors are ordered by a hash. Those that come before all their similar neighbours become pivots and
-   absorb them; rounds go on with the rest. Members then move to the closest pivot, and each cluster gets a new
-   anchor: the member that is most similar to all members together (its dot product with their sum).
-3. Clusters are put together into groups where any two members are similar, checked in double precision.
-
-A component of up to ``block`` vectors is one block of exact arithmetic. A larger one (a third of all rows may be near
-copies) is cut into chunks. For groups, these are absorbed by pivots side by side; pivots are then compared with each
-other, and members outside the largest group with all blocks, so the groups are the same as if all pairs had been
-compared. For clusters, pivots are taken a block at a time in the hash order and absorb members in all chunks, so pivots,
-members and places are the same too.
+   absorb them. Rounds take the first vectors that are left: pivots among them absorb in the whole component, until none is
+   left. So vectors are compared with pivots, not with each other. Members then move to the closest pivot, and each
+   cluster gets a new anchor: the member that is most similar to all members together (its dot product with their sum).
+3. A group is one cluster, or several whose members are similar: members of all but a component's largest cluster are
+   compared, in double precision, with those of other clusters.
+
+Pivots are those of the hash order, however many vectors a round takes, so a component may be worked at in any number of
+pieces. One of up to ``block`` vectors is worked at in one; a larger one (a third of all rows may be near copies) is cut
+into chunks, whose rounds, sums and comparisons run side by side, with the same result.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import vectors as V
-from quillspark.session import drop_written, written
+from quillspark.session import drop_written, ship_package, written
 
 BLOCK = 4096
+#: Vectors that a round within a block takes.
+HEAD = 256
 OUT = "sha string, pivot string, anchor string, similarity double, size long, place long, group_key string"
+OUT_ARROW = pa.schema([("sha", pa.string()), ("pivot", pa.string()), ("anchor", pa.string()), ("similarity", pa.float64()), ("size", pa.int64()), ("place", pa.int64()), ("group_key", pa.string())])
 
 
 def neighbours(x: np.ndarray, threshold: float) -> np.ndarray:
@@ -62,69 +66,93 @@ def pivots_by_rounds(near: np.ndarray, order: np.ndarray) -> np.ndarray:
 def hash_order(shas: np.ndarray) -> np.ndarray:
     """Each row's place by the hash of its content, ties by the content itself."""
     order = np.empty(len(shas), np.int64)
-    order[np.lexsort((shas, [xxhash.xxh64_intdigest(s) for s in shas]))] = np.arange(len(shas))
+    order[np.lexsort((np.argsort(np.argsort(shas)), np.array([xxhash.xxh64_intdigest(s) for s in shas], np.uint64)))] = np.arange(len(shas))
     return order
 
 
-def describe(shas: np.ndarray, x: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
-    """Anchor, size and places of the clusters that ``owner`` (a position per row) names. Ties go to the smaller content."""
-    out = []
-    for o in np.unique(owner):
-        rows = np.flatnonzero(owner == o)
-        total = x[rows] @ x[rows].sum(axis=0)
-        anchor = rows[np.lexsort((shas[rows], -np.round(total, 9)))[0]]
-        sim = np.clip(x[rows] @ x[anchor], -1.0, 1.0)
-        place = np.empty(len(rows), np.int64)
-        place[np.lexsort((shas[rows], -np.round(total, 9)))] = np.arange(1, len(rows) + 1)
-        out.append(pd.DataFrame({"sha": shas[rows], "pivot": shas[o], "anchor": shas[anchor], "similarity": sim, "size": len(rows), "place": place}))
-    return pd.concat(out, ignore_index=True)
-
-
-def cluster_block(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sha", ignore_index=True)
-        shas, x = rows["sha"].to_numpy(), V.unit([V.unpack(b) for b in rows["vector"]])
-        near = neighbours(x, threshold)
-        pivot = pivots_by_rounds(near, hash_order(shas))
-        chosen = np.unique(pivot)
-        if len(chosen) > 1:  # to the closest pivot that is similar; a pivot stays its own
-            sims = np.where(near[:, chosen], x @ x[chosen].T, -2.0)
-            sims[chosen, np.arange(len(chosen))] = 2.0
-            pivot = chosen[sims.argmax(axis=1)]
-        out = describe(shas, x, pivot)
-        i, j = np.nonzero(near)
-        root = dict(zip(shas, shas[V.local_roots(len(shas), i, j)], strict=True))
-        return out.assign(group_key=out["sha"].map(root))
-
-    return work
-
-
-def _absorb(threshold: float) -> Callable:
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sha", ignore_index=True)
-        shas, x = rows["sha"].to_numpy(), V.unit([V.unpack(b) for b in rows["vector"]])
-        pivot = pivots_by_rounds(neighbours(x, threshold), hash_order(shas))
-        return pd.DataFrame({"id": rows["id"], "to": rows["id"].to_numpy()[pivot], "chunk": rows["chunk"]})
+def pivots_of(x: np.ndarray, order: np.ndarray, threshold: float, head: int = HEAD) -> np.ndarray:
+    """Positions of the pivots among the rows of ``x``."""
+    left, found = np.argsort(order), []
+    while len(left):
+        first = left[:head]
+        fresh = first[np.unique(pivots_by_rounds(neighbours(x[first], threshold), np.arange(len(first))))]
+        found.append(fresh)
+        rest = left[head:]
+        left = rest[_most(x[rest], x[fresh]) < threshold]
+    return np.concatenate(found)
+
+
+def _most(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The greatest similarity of each row of ``x`` to a row of ``p``."""
+    return np.concatenate([np.zeros(0), *[(x[s : s + 2048] @ p.T).max(axis=1) for s in range(0, len(x), 2048)]])
+
+
+def closest(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The closest of ``p`` to each row; of equally close ones the first."""
+    return np.concatenate([np.zeros(0, int), *[(x[s : s + 2048] @ p.T).argmax(axis=1) for s in range(0, len(x), 2048)]])
+
+
+def linked_clusters(x: np.ndarray, owner: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest position in the group of each row: clusters (``owner``) with similar members are put together."""
+    label = V._jump(np.minimum.reduceat(np.argsort(owner, kind="stable"), np.flatnonzero(np.r_[True, np.diff(np.sort(owner)) != 0]))[np.unique(owner, return_inverse=True)[1]])
+    names, sizes = np.unique(label, return_counts=True)
+    for name in names[np.argsort(sizes, kind="stable")][:-1]:  # the largest has been compared with all others then
+        rows = np.flatnonzero(label == name) if (label == name).any() else np.zeros(0, int)
+        other = np.flatnonzero(label != name)
+        if not len(rows) or not len(other):
+            continue
+        touched = {name}
+        for s in range(0, len(rows), 512):
+            hit = (x[rows[s : s + 512]] @ x[other].T >= threshold).any(axis=0)
+            touched |= set(label[other[hit]])
+        if len(touched) > 1:
+            label[np.isin(label, list(touched))] = max(touched, key=lambda t: (int((label == t).sum()), t))
+    low = np.full(len(x), len(x))
+    np.minimum.at(low, label, np.arange(len(x)))
+    return low[label]
+
+
+def describe(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor (a position), similarity to it, size and place of each row in the cluster ``owner`` names. Ties go to the earlier row."""
+    order = np.argsort(owner, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
+    cluster = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
+    total = np.round((x[order] * np.add.reduceat(x[order], start)[cluster]).sum(axis=1), 9)
+    by_score = np.lexsort((order, -total, cluster))
+    anchor, place, size = np.empty(len(x), int), np.empty(len(x), int), np.empty(len(x), int)
+    place[order[by_score]] = np.arange(len(x)) - start[cluster] + 1
+    anchor[order] = order[by_score][start][cluster]
+    size[order] = np.diff(np.r_[start, len(order)])[cluster]
+    return anchor, np.clip((x * x[anchor]).sum(axis=1), -1.0, 1.0), size, place
+
+
+def cluster_block(threshold: float, head: int = HEAD) -> Callable[[dict[str, np.ndarray]], list[np.ndarray]]:
+    """Clusters and groups of one component, whose rows come ordered by content."""
+
+    def work(rows: dict[str, np.ndarray]) -> list[np.ndarray]:
+        shas, x = rows["sha"], V.unit(V.unpack(rows["vector"]))
+        pivots = np.sort(pivots_of(x, hash_order(shas), threshold, head))
+        owner = pivots[closest(x, x[pivots])]
+        owner[pivots] = pivots  # also where a copy is as close
+        group = linked_clusters(x, owner, threshold) if len(pivots) > 1 else np.zeros(len(x), int)
+        anchor, similarity, size, place = describe(x, owner)
+        return [shas, shas[owner], shas[anchor], similarity, size, place, shas[group]]
 
     return work
 
 
-def exact_links(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links of a pair of blocks, at most one a row."""
+def cross_links(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links between similar rows of different clusters (``to``) on the two sides of a piece, at most one a row and cluster."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        x, side = V.unit([V.unpack(b) for b in rows["vector"]]), rows["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if side.max() else left
-        i, j = [np.zeros(0, int)], [np.zeros(0, int)]
+        x, side, to = V.unit(V.unpack(rows["vector"].to_list())), rows["side"].to_numpy(), rows["to"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: set[tuple[int, int]] = set()
         for at in range(0, len(left), 512):
             a, b = np.nonzero(x[left[at : at + 512]] @ x[right].T >= threshold)
-            i.append(left[at : at + 512][a])
-            j.append(right[b])
-        root = V.local_roots(len(rows), np.concatenate(i), np.concatenate(j))
-        ids, other = rows["id"].to_numpy(), np.flatnonzero(root != np.arange(len(rows)))
-        return pd.DataFrame({"u": ids[other], "v": ids[root[other]]})
+            u, v = to[left[at : at + 512][a]], to[right[b]]
+            found |= set(map(tuple, np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0).tolist()))
+        return pd.DataFrame(sorted(found), columns=["u", "v"], dtype="int64")
 
     return work
 
@@ -133,16 +161,14 @@ def _take_prefix(threshold: float) -> Callable:
     """The pivots of the first rows of a component that are left."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sha", ignore_index=True)
-        pivot = pivots_by_rounds(neighbours(V.unit([V.unpack(b) for b in rows["vector"]]), threshold), hash_order(rows["sha"].to_numpy()))
-        fresh = np.unique(pivot)
-        return pd.DataFrame({"root": rows["root"].to_numpy()[fresh], "id": rows["id"].to_numpy()[fresh], "vector": rows["vector"].to_numpy()[fresh]})
+        fresh = pivots_of(V.unit(V.unpack(rows["vector"].to_list())), hash_order(rows["sha"].to_numpy()), threshold)
+        return rows.iloc[fresh][["root", "id", "vector"]]
 
     return work
 
 
 def _pivots_by_prefix(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``id`` of the pivots of components larger than a block; the same as if each were one block.
+    """``id`` of the pivots of components larger than a block.
 
     In rounds, the first block of a component by the hash order gives its pivots, and what they absorb drops out all over the
     component, until nothing is left.
@@ -156,15 +182,16 @@ def _pivots_by_prefix(vecs: DataFrame, threshold: float, block: int) -> DataFram
 
     def rest(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if len(rows) and len(pivots):
-            x, p = V.unit([V.unpack(b) for b in rows["vector"]]), V.unit([V.unpack(b) for b in pivots["pv"]])
-            far = np.concatenate([(x[s : s + 512] @ p.T).max(axis=1) < threshold for s in range(0, len(x), 512)])
+            far = _most(V.unit(V.unpack(rows["vector"].to_list())), V.unit(V.unpack(pivots["pv"].to_list()))) < threshold
             rows = rows[far & ~rows["id"].isin(pivots["to"]).to_numpy()]
         return rows
 
     found = None
     while left.take(1):
-        w = Window.partitionBy("root").orderBy("h", "sha")
-        prefix = left.join(left.select("root", "id", "h", "sha").withColumn("i", F.row_number().over(w)).where(F.col("i") <= block).select("id"), "id", "left_semi")
+        # Each chunk gives its first block, of which the component's first block is taken: no component is sorted in one task.
+        by = lambda *part: F.row_number().over(Window.partitionBy(*part).orderBy("h", "sha"))
+        some = left.select("root", "chunk", "id", "h", "sha").withColumn("i", by("root", "chunk")).where(F.col("i") <= block)
+        prefix = left.join(some.withColumn("i", by("root")).where(F.col("i") <= block).select("id"), "id", "left_semi")
         fresh = written(prefix.groupBy("root").applyInPandas(_take_prefix(threshold), "root long, id long, vector binary"))
         found = fresh.select("id") if found is None else found.unionByName(fresh.select("id"))
         parts = left.select("root", "chunk").distinct().join(fresh, "root").select(F.col("root").alias("of_root"), F.col("chunk").alias("of_chunk"), F.col("id").alias("to"), F.col("vector").alias("pv"))
@@ -190,82 +217,87 @@ def places(score: DataFrame, cell: int = 50_000) -> DataFrame:
     return s.withColumn("i", i).join(counts, ["to", "c"]).select("id", (F.col("before") + F.col("i")).cast("long").alias("place"))
 
 
+def _linked_large(placed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``to, part``: the group (an id) of each cluster; ``placed`` has ``id, root, chunk, to, vector``.
+
+    Members outside a component's largest cluster are cut into parts of a block, and each part is compared with each chunk
+    of the component. Only clusters travel from there on.
+    """
+    sizes = placed.groupBy("root", "to").count()
+    largest = sizes.groupBy("root").agg(F.max(F.struct("count", "to")).alias("m"), F.sum("count").alias("n"), F.count("*").alias("k")).where("k > 1")
+    main = largest.select("root", F.col("m.to").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / F.lit(block)).alias("parts"))
+    clusters = sizes.select("to")
+    with_main = written(placed.join(main, "root"))
+    if not with_main.take(1):
+        return clusters.select("to", F.col("to").alias("part"))
+    chunks = with_main.select("root", "chunk").distinct()
+    rest = with_main.where("to <> main").drop("chunk").withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), "parts"))
+    cols = ["root", "chunk", "piece", "to", "vector", "side"]
+    left = rest.join(chunks, "root").withColumn("side", F.lit(0)).select(cols)
+    right = with_main.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("side", F.lit(1)).select(cols)
+    links = left.unionByName(right).groupBy("root", "chunk", "piece").applyInPandas(cross_links(threshold), "u long, v long").distinct()
+    found = V.components(links).select(F.col("id").alias("to"), F.col("root").alias("part"))
+    return clusters.join(found, "to", "left").select("to", F.coalesce("part", "to").alias("part"))
+
+
 def _cluster_large(vecs: DataFrame, threshold: float, block: int) -> DataFrame:
     """Clusters and groups of components larger than a block; ``vecs`` has ``id, sha, root, n, vector``."""
     vecs = written(vecs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block)))))
-    taken = written(vecs.groupBy("root", "chunk").applyInPandas(_absorb(threshold), "id long, to long, chunk long").drop("chunk"))
-    heads = vecs.join(taken.where("id = to").select("id"), "id", "left_semi").select("root", "id", "vector")
-    pairs = lambda df: V.in_block_pairs(df, ["root"], "id", block).groupBy("root", "a", "b").applyInPandas(exact_links(threshold), "u long, v long")
-    links = written(taken.where("id <> to").select(F.col("id").alias("u"), F.col("to").alias("v")).unionByName(pairs(heads)).distinct())
-    found = V.components(links)
-    # Members outside the largest group of their component may still be similar to members that aren't pivots.
-    labelled = vecs.select("id", "root").join(found.withColumnRenamed("root", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    sizes = labelled.groupBy("root", "part").count()
-    largest = sizes.groupBy("root").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("root", F.col("m.part").alias("main"))
-    rest = labelled.join(largest, "root").where("part <> main").select("id")
-    if rest.take(1):
-        k = F.ceil(F.col("n") / F.lit(block))
-        some = vecs.join(rest, "id", "left_semi").select("root", "id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("chunk"), F.lit(0).alias("side"))
-        some = some.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64)))
-        every = vecs.join(largest.select("root"), "root", "left_semi").select("root", "id", "vector", "chunk", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part"))
-        every = every.join(some.select("root", "part").distinct(), ["root", "part"], "left_semi")
-        more = some.select(every.columns).unionByName(every).groupBy("root", "chunk", "part").applyInPandas(exact_links(threshold), "u long, v long")
-        found = V.components(links.unionByName(more).distinct())
-    groups = vecs.select("id", "sha").join(found.withColumnRenamed("root", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    keys = groups.groupBy("part").agg(F.min("sha").alias("group_key"))
-    groups = groups.join(keys, "part").select("id", "group_key")
-
-    kept = _pivots_by_prefix(vecs, threshold, block)
-    kept = vecs.join(kept, "id", "left_semi").select("root", F.col("id").alias("to"), F.col("sha").alias("psha"), F.col("vector").alias("pv"))
+    pivots = _pivots_by_prefix(vecs, threshold, block)
+    pivots = vecs.join(pivots, "id", "left_semi").select("root", F.col("id").alias("to"), F.col("sha").alias("psha"), F.col("vector").alias("pv"))
     own = vecs.select("id", "sha", "root", "chunk", "vector")
-    chunks = written(own.select("root", "chunk").distinct().join(kept, "root").select(F.col("root").alias("of_root"), F.col("chunk").alias("of_chunk"), "to", "psha", "pv"))
+    chunks = written(own.select("root", "chunk").distinct().join(pivots, "root").select(F.col("root").alias("of_root"), F.col("chunk").alias("of_chunk"), "to", "psha", "pv"))
 
-    def closest(key: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    def move(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"id": [], "sha": [], "to": [], "vector": []})
+            return rows.assign(to=0)
         pivots = pivots.sort_values("psha", ignore_index=True)  # of equally close ones the smaller content, as in a block
-        x, p = V.unit([V.unpack(b) for b in rows["vector"]]), V.unit([V.unpack(b) for b in pivots["pv"]])
-        # Each row has a similar pivot, or is one, so the closest is similar.
-        at = np.concatenate([(x[s : s + 512] @ p.T).argmax(axis=1) for s in range(0, len(x), 512)])
-        return pd.DataFrame({"id": rows["id"], "sha": rows["sha"], "to": pivots["to"].to_numpy()[at], "vector": rows["vector"]})
+        at = closest(V.unit(V.unpack(rows["vector"].to_list())), V.unit(V.unpack(pivots["pv"].to_list())))
+        to = pivots["to"].to_numpy()
+        return rows.assign(to=np.where(rows["id"].isin(to), rows["id"], to[at]))
 
-    placed = written(own.groupBy("root", "chunk").cogroup(chunks.groupBy("of_root", "of_chunk")).applyInPandas(closest, "id long, sha string, to long, vector binary"))
+    placed = written(own.groupBy("root", "chunk").cogroup(chunks.groupBy("of_root", "of_chunk")).applyInPandas(move, "id long, sha string, root long, chunk long, vector binary, to long"))
+    groups = written(placed.select("id", "sha", "to").join(_linked_large(placed, threshold, block), "to"))
+    keys = groups.groupBy("part").agg(F.min("sha").alias("group_key"))
+    groups = groups.join(keys, "part").select("id", "group_key")
 
     def sums(batches):
         for b in batches:
-            x = V.unit([V.unpack(v) for v in b["vector"]])
+            x = V.unit(V.unpack(b["vector"].to_list()))
             for o in np.unique(b["to"]):
                 yield pd.DataFrame({"to": [o], "total": [x[(b["to"] == o).to_numpy()].sum(axis=0)]})
 
-    total = placed.mapInPandas(sums, "to long, total array<double>").select("to", F.posexplode("total").alias("d", "t")).groupBy("to", "d").agg(F.sum("t").alias("t"))
+    total = placed.select("to", "vector").mapInPandas(sums, "to long, total array<double>").select("to", F.posexplode("total").alias("d", "t")).groupBy("to", "d").agg(F.sum("t").alias("t"))
     total = total.groupBy("to").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "t"))), lambda s: s["t"]).alias("total"))
 
     def scored(batches):
         for b in batches:
-            x = V.unit([V.unpack(v) for v in b["vector"]])
+            x = V.unit(V.unpack(b["vector"].to_list()))
             yield pd.DataFrame({"id": b["id"], "sha": b["sha"], "to": b["to"], "vector": b["vector"], "score": np.round((x * np.stack(b["total"].to_list())).sum(axis=1), 9)})
 
-    score = written(placed.join(total, "to").mapInPandas(scored, "id long, sha string, to long, vector binary, score double"))
+    score = written(placed.select("id", "sha", "to", "vector").join(total, "to").mapInPandas(scored, "id long, sha string, to long, vector binary, score double"))
     anchors = score.groupBy("to").agg(F.min_by(F.struct(F.col("sha").alias("anchor"), F.col("vector").alias("av")), F.struct(-F.col("score"), F.col("sha"))).alias("m"), F.count("*").alias("size")).select("to", "m.*", "size")
 
     def similar(batches):
         for b in batches:
-            x, a = V.unit([V.unpack(v) for v in b["vector"]]), V.unit([V.unpack(v) for v in b["av"]])
+            x, a = V.unit(V.unpack(b["vector"].to_list())), V.unit(V.unpack(b["av"].to_list()))
             yield b.drop(columns=["vector", "av"]).assign(similarity=np.clip((x * a).sum(axis=1), -1.0, 1.0))
 
-    done = score.join(anchors, "to").mapInPandas(similar, "to long, id long, sha string, score double, anchor string, size long, similarity double")
-    heads_sha = vecs.select(F.col("id").alias("to"), F.col("sha").alias("pivot"))
-    return done.join(heads_sha, "to").join(places(score), "id").join(groups, "id").select("sha", "pivot", "anchor", "similarity", "size", "place", "group_key")
+    done = score.join(anchors, "to").select("to", "id", "sha", "score", "vector", "anchor", "av", "size").mapInPandas(similar, "to long, id long, sha string, score double, anchor string, size long, similarity double")
+    pivot_shas = pivots.select("to", F.col("psha").alias("pivot"))
+    return done.join(pivot_shas, "to").join(places(score), "id").join(groups, "id").select("sha", "pivot", "anchor", "similarity", "size", "place", "group_key")
 
 
 def cluster_vectors(embeddings: DataFrame, threshold: float = 0.78, lists: int = 6, block: int = BLOCK) -> DataFrame:
-    """One row per content: ``content_sha256, cluster_id, cluster_size, anchor_sha256, similarity_to_anchor, place, group_key, group_size``.
+    """One row per content: ``content_sha256, cluster_id, cluster_size, anchor_sha256, similarity_to_anchor, place, pivot_sha256, group_key, group_size``.
 
     Usable vectors have exactly 384 finite numbers, not all zero; each content counts with its newest usable row, repeated
-    rows once. ``anchor`` is the most typical member and ``place`` a member's order by typicality. ``group_key`` is the smallest content of all that are linked by
+    rows once. ``anchor`` is the most typical member, ``place`` a member's order by typicality, and ``pivot`` the member
+    that absorbed the cluster, to which every member is similar. ``group_key`` is the smallest content of all that are linked by
     similarity, directly or through others. A content like no other is a cluster of its own. Contents without a usable
     vector don't come out; an empty table gives no rows. Extra columns are ignored.
     """
+    ship_package(embeddings.sparkSession)
     rows = V.usable_rows(embeddings)
     sig = V.signatures(rows, lists)
     roots = V.components(V.candidate_links(sig, threshold))
@@ -273,8 +305,8 @@ def cluster_vectors(embeddings: DataFrame, threshold: float = 0.78, lists: int =
     sizes = linked.groupBy("root").agg(F.count("*").alias("n"))
     placed = written(linked.join(sizes, "root").select("sha", "at", "vh", "id", "root", "n"))
     single = sig.join(roots, "id", "left_anti").select("sha", F.col("sha").alias("pivot"), F.col("sha").alias("anchor"), F.lit(1.0).alias("similarity"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("place"), F.col("sha").alias("group_key"))
-    small = V.with_vectors(rows, placed.where(F.col("n") <= block)).select("root", "sha", "vector").repartition("root").sortWithinPartitions("root")
-    out = single.unionByName(small.mapInPandas(V.grouped("root", cluster_block(threshold)), OUT))
+    small = V.with_vectors(rows, placed.where(F.col("n") <= block)).select("root", "sha", "vector").repartition("root").sortWithinPartitions("root", "sha")
+    out = single.unionByName(small.mapInArrow(V.grouped(["root"], cluster_block(threshold), OUT_ARROW), OUT))
     if placed.where(F.col("n") > block).take(1):
         large = V.with_vectors(rows, placed.where(F.col("n") > block)).select("id", "sha", "root", "n", "vector")
         out = out.unionByName(_cluster_large(large, threshold, block))
@@ -287,6 +319,7 @@ def cluster_vectors(embeddings: DataFrame, threshold: float = 0.78, lists: int =
         F.col("anchor").alias("anchor_sha256"),
         F.col("similarity").alias("similarity_to_anchor"),
         "place",
+        F.col("pivot").alias("pivot_sha256"),
         "group_key",
         "group_size",
     )

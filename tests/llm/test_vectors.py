@@ -147,7 +147,7 @@ def test_footrule():
 
 def test_packing_is_lossless():
     x = np.random.default_rng(0).standard_normal(384).astype(np.float32)
-    assert (V.unpack(V.pack(x)) == x).all()
+    assert (V.unpack(V.pack(np.stack([x, -x]))) == np.stack([x, -x])).all()
 
 
 def test_components_against_union_find(spark):
@@ -157,3 +157,53 @@ def test_components_against_union_find(spark):
     i, j = np.array(edges).T
     want = V.local_roots(300, i, j)
     assert got == {int(k): int(want[k]) for k in set(i) | set(j)}
+
+
+def test_roots_of_dense_and_two_sided_links():
+    rng = np.random.default_rng(8)
+    for r, c in ((3, 2), (1500, 40), (40, 1500), (0, 4)):
+        linked = rng.random((r, c)) < 2 / (r + c)
+        i, j = np.nonzero(linked)
+        want = V.local_roots(r + c, i, j + r)
+        assert (V.two_sided_roots(linked) == want).all()
+        whole = np.zeros((r + c, r + c), bool)
+        whole[i, j + r] = whole[j + r, i] = True
+        assert (V.dense_roots(whole) == want).all()
+
+
+def test_two_level_pivots_against_all():
+    x = V.unit(np.random.default_rng(9).standard_normal((900, 384))).astype(np.float32)
+    few = V.Pivots(x[:12])
+    want = np.argsort(-(x @ x[:12].T), axis=1, kind="stable")[:, :6]
+    assert (few.nearest(x, 6) == want).all()
+    many = V.Pivots(x[:400])
+    got = many.nearest(x, 6)
+    assert all(len(set(r)) == 6 for r in got)
+    assert (got[:400, 0] == np.arange(400)).mean() > 0.99
+
+
+def test_footrule_of_lists():
+    rng = np.random.default_rng(10)
+    a, b = (np.array([rng.permutation(20)[:6] for _ in range(n)]) for n in (30, 40))
+    got = 6 * 7 - 2 * neighbours.shared_ranks(a, b).astype(int)
+    assert all((got[i] == V.footrule(np.repeat(a[i : i + 1], 40, 0), b)).all() for i in range(30))
+
+
+@pytest.mark.parametrize("check", [True, False])
+def test_shortlists_by_footrule(check):
+    # near copies in a dense group: the shortlist alone finds most, the check the rest
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(384)
+    x = np.concatenate([centre + 0.3 * rng.standard_normal(384) + 0.04 * rng.standard_normal((20, 384)) for _ in range(60)])
+    x = V.unit(x)
+    near = V.Pivots(x[::15].astype(np.float32)).nearest(x.astype(np.float32), 6)
+    every = np.arange(len(x))
+    i, j, _ = neighbours.nearest_of(x, near, every, every, 5, 0.78, 64, check)
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -2)
+    want = {(a, b) for a in every for b in np.argsort(-s[a], kind="stable")[:5]}
+    share = len(want & set(zip(i, j, strict=True))) / len(want)
+    assert share > (0.997 if check else 0.8)
+    if not check:
+        k, l, _ = neighbours.nearest_of(x, near[rng.permutation(len(x))], every, every, 5, 0.78, 64, check)
+        assert len(want & set(zip(k, l, strict=True))) < 0.6 * len(want)  # the order decides
