@@ -3,14 +3,17 @@
 Three kinds of evidence are combined, all as column expressions:
 
 * Placeholder detectors: marks that templates leave when a value is missing, filler text, traces of failed programs. They
-  count wherever they stand, in a title or within a story, unless the text quotes exactly that mark and so reports on it.
+  count wherever they stand, in a title or within a story, unless the text quotes exactly that mark and so reports on it;
+  filler phrases count where they are a sentence.
 * Notice detectors: what error pages and script walls say. They count only where nothing else is told: a page is low in
-  information if every sentence of it is a notice or host boilerplate.
-* Host evidence: a sentence is host boilerplate if, digits and codes aside, it is served for several stories of a host and
-  hardly ever stands in a text that isn't low in information. Where no detector knows any sentence of such a text, it is
-  flagged if it is mismatched too: it shares no term with its title or address slug.
-
-Sentences are counted over all snapshots by (host, template) with partial aggregation; a host may hold all rows.
+  information if every sentence of it is a notice or served for other stories too, however long it is.
+* Host evidence: a sentence is duplicated if, digits and codes aside, it is served for several stories of a host by pages
+  that could be low in information. Where no detector knows any sentence of a page of such sentences, it is flagged if the
+  whole response is duplicated, and mismatched too: it shares no term with its title or address slug.
+
+A page can be low in information only if its longest sentence is a notice or duplicated, which is counted first, over all
+snapshots; only such pages are taken apart into sentences. Counts are by (host, sentence) with partial aggregation; a
+host may hold all rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import written
+
 _NAME = r"[A-Za-z][A-Za-z0-9_.]*"
 #: Marks of templating languages and of editors, each around a name, by what a text must hold to have one.
 MARKS = {
@@ -57,10 +62,14 @@ LOREM = (
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint "
     "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vestibulum pellentesque mattis viverra vivamus praesent donec maecenas"
 ).split()
+#: What a filler sentence begins with, and what a text must hold (in small letters) to have one.
+FILLER_PARTS = ("goes here", "here please", "to come", "to follow", "tbc", "dummy ", "placeholder ", "filler ", "sample ", "do not publish")
 FILLER = (
-    r"(?i)(?:\b(?:body|text|copy|headline|heading|title|caption|standfirst|summary|byline|quote|image)(?: text| copy)? (?:goes here|here please|to come\b|to follow\b|tbc\b)"
-    r"|\b(?:dummy|placeholder|filler|sample) (?:copy|text|paragraph|headline|story)\b|\bdo not publish\b|\b(\w+)(?: \1){2,}(?! \1)(?=[.!]|$))"
+    r"(?im)(?:^|[.!?…]\s)[^\S\n]*(?:(?:the |this |your |insert )?(?:body|text|copy|headline|heading|title|caption|standfirst|summary|byline|quote|image)(?: text| copy)? (?:goes here|here please|to come\b|to follow\b|tbc\b)"
+    r"|(?:dummy|placeholder|filler|sample) (?:copy|text|paragraph|headline|story)\b|do not publish\b)[^.!?…\n“”\"]{0,40}(?:[.!?…]|$)"
 )
+#: A sentence of one word said three times or more.
+STUTTER = r"(?im)(?:^|[.!?…]\s)[^\S\n]*(\w+)(?: \1){2,}(?:[.!?…]|$)"
 #: Titles that name no story.
 TITLE_FILLER = r"(?i)^\s*(?:(?:test|dummy|sample|new|blank|untitled)(?: (?:story|article|page|document|post|headline|template|title))+(?: \d+)?|test please ignore|(?:page |story )?layout test|.{0,30}\(max\.? \d+ char(?:acter)?s\)|(?:x{3,}|\.{3,}|-{3,}|#{3,}|tbc|tk)(?: (?:x{3,}|\.{3,}|-{3,}|#{3,}|tbc|tk))*|undefined|null|nan|\[object Object\])\s*$"
 NOTICE = (
@@ -77,7 +86,6 @@ NOTICE = (
 )
 #: What stands around a notice.
 FURNITURE = r"(?i)©.*|\bcopyright\b.*|\b(?:home|news|sport|weather|contact|terms)\b|\b(?:reference|incident|ray|request)(?: id)?:?\s+[^\s,]+(?:, node \S+)?|\bgo back to the front page\b|\bsearch the site\b|^[\w-]+/[\d.]+"
-LOW = 400
 _QUOTES = "“”\"'‘’«»„"
 
 
@@ -120,7 +128,7 @@ def low_filler(text: Column) -> Column:
     return F.when(suspect, F.exists(F.split(text, r"\n"), filler)).otherwise(F.lit(False))
 
 
-def find_residue(snapshots: DataFrame, stories: int = 3, share: float = 0.9) -> DataFrame:
+def find_residue(snapshots: DataFrame, stories: int = 3) -> DataFrame:
     """One row per snapshot: ``snapshot_id, marks, filler, title_residue, notice, low_information, mismatched, residue``.
 
     Repeated rows count once (of rows of one snapshot_id that differ, one with residue holds). A null title or text is an
@@ -137,33 +145,39 @@ def find_residue(snapshots: DataFrame, stories: int = 3, share: float = 0.9) ->
     in_title = F.regexp_extract(title, f"({MARK})", 1)
     marks = _unquoted(text, MARKS) | _unquoted(text, TRACES)
     title_marks = F.when(in_title == "", False).otherwise(_unquoted(title, MARKS) & ~F.array_contains(quoted_marks, in_title))
-    low = (F.length(text) <= LOW) & (text != "")
+    small = F.lower(text)
+    filler = F.when(reduce(or_, [small.contains(x) for x in FILLER_PARTS]), text.rlike(FILLER)).otherwise(F.lit(False)) | text.rlike(STUTTER)
+    longest = F.array_max(F.transform(sentences_of(text), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))["s"]
     head = s.select(
-        "*",
+        "snapshot_id", "host", "story", "title", "slug", "text",
         marks.alias("marks"),
-        (low_filler(text) | F.when(low, text.rlike(FILLER)).otherwise(F.lit(False))).alias("filler"),
+        (low_filler(text) | filler).alias("filler"),
         (title_marks | title.rlike(TITLE_FILLER) | title.rlike(r"(?i)^\W*(?:headline|title|caption) (?:goes here|to come|to follow|tbc)\W*$")).alias("title_residue"),
-        low.alias("low"),
-    )
-    # Sentences of every text; those of short texts are judged by where else they stand.
-    each = s.select("host", "story", low.alias("low"), F.explode(F.array_distinct(F.transform(sentences_of(alike(text)), lambda x: F.xxhash64(x)))).alias("t"))
-    counted = each.groupBy("host", "t", "story").agg(F.min(F.col("low").cast("int")).alias("low")).groupBy("host", "t").agg(F.count("*").alias("n"), F.sum("low").alias("k"))
-    served = counted.where((F.col("n") >= stories) & (F.col("k") >= share * F.col("n"))).select("host", "t", F.lit(True).alias("served"))
-    short = head.where("low").select("snapshot_id", "host", "title", "slug", "text", F.posexplode(sentences_of(text)).alias("i", "x"))
-    short = short.withColumn("t", F.xxhash64(alike(F.col("x")))).withColumn("notice", F.col("x").rlike(NOTICE) & ~F.col("x").rlike(f"[{_QUOTES}][^{_QUOTES}]*{NOTICE}[^{_QUOTES}]*[{_QUOTES}]"))
-    furniture = ~F.regexp_replace("x", FURNITURE, " ").rlike(r"[\p{L}\p{N}]")
-    judged = short.join(served, ["host", "t"], "left").groupBy("snapshot_id").agg(
-        F.max("notice").alias("notice"),
-        F.min(F.coalesce("served", F.lit(False)) | F.col("notice") | furniture).alias("low_information"),
-        F.max(F.coalesce("served", F.lit(False))).alias("any_served"),
+        longest.alias("longest"),
+    )
+    told = lambda x: x.rlike(NOTICE) & ~x.rlike(f"[{_QUOTES}][^{_QUOTES}]*{NOTICE}[^{_QUOTES}]*[{_QUOTES}]")
+    furniture = lambda x: ~F.regexp_replace(x, FURNITURE, " ").rlike(r"[\p{L}\p{N}]")
+
+    def duplicated(rows: DataFrame) -> DataFrame:
+        """``host, t, served``: sentences of at least so many stories of a host."""
+        return rows.select("host", "t", "story").distinct().groupBy("host", "t").agg(F.count("*").alias("n")).where(F.col("n") >= stories).select("host", "t", F.lit(True).alias("served"))
+
+    head = written(head.withColumn("t", F.xxhash64(alike(F.col("longest")))))
+    could = head.where("longest is not null").join(duplicated(head.where("longest is not null")), ["host", "t"], "left").where(F.coalesce("served", F.lit(False)) | told(F.col("longest")) | furniture(F.col("longest")))
+    whole = could.select("snapshot_id", "host", "story", F.xxhash64(alike(F.col("text"))).alias("t"))
+    whole = whole.join(duplicated(whole), ["host", "t"]).groupBy("snapshot_id").agg(F.lit(True).alias("response"))
+    each = could.select("snapshot_id", "host", "story", "title", "slug", "text", F.explode(sentences_of(F.col("text"))).alias("x")).withColumn("t", F.xxhash64(alike(F.col("x"))))
+    judged = each.join(duplicated(each), ["host", "t"], "left").groupBy("snapshot_id").agg(
+        F.max(told(F.col("x"))).alias("notice"),
+        F.min(F.coalesce("served", F.lit(False)) | told(F.col("x")) | furniture(F.col("x"))).alias("low_information"),
         F.first("title").alias("title"), F.first("slug").alias("slug"), F.first("text").alias("text"),
     )
     terms = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
     mismatch = ~F.arrays_overlap(F.array_union(terms(F.col("title")), terms(F.col("slug"))), terms(F.col("text")))
-    judged = judged.select("snapshot_id", "notice", "low_information", (mismatch | F.col("title").rlike(NOTICE)).alias("mismatched"), "any_served")
-    out = head.join(judged, "snapshot_id", "left")
+    judged = judged.select("snapshot_id", "notice", "low_information", (mismatch | F.col("title").rlike(NOTICE)).alias("mismatched"))
+    out = head.join(judged.join(whole, "snapshot_id", "left"), "snapshot_id", "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    page = flag("low_information") & (flag("notice") | (flag("any_served") & flag("mismatched")))
+    page = flag("low_information") & (flag("notice") | (flag("response") & flag("mismatched")))
     residue = F.col("marks") | F.col("filler") | F.col("title_residue") | page
     picked = out.select("snapshot_id", "marks", "filler", "title_residue", flag("notice").alias("notice"), flag("low_information").alias("low_information"), flag("mismatched").alias("mismatched"), residue.alias("residue"))
     cols = [c for c in picked.columns if c != "snapshot_id"]

@@ -40,6 +40,10 @@ def residue(spark, rows):
         ("Bridge vote", "404\nThe page you were looking for could not be found. Reference: a1b2c3d4", True),
         ("Bridge vote", STORY + "\nSome features of this page need JavaScript.", False),
         ("Bank told customers to enable JavaScript", STORY + "\nFor 3 hours customers met the line “Please enable JavaScript” instead.", False),
+        ("Bridge vote", STORY * 5 + "\nBody text goes here.", True),
+        ("Bridge vote", STORY * 5 + "\nThe page said the body text goes here, which nobody noticed until the evening.", False),
+        ("Bridge vote", "\n".join(["The page you were looking for could not be found.", "Please enable JavaScript to go on.", "Access denied"] * 8), True),
+        ("Bridge vote", "\n".join(["The page you were looking for could not be found.", "Please enable JavaScript to go on."] * 12 + [STORY]), False),
         ("Runners", "Exactly 404 runners crossed the line; nobody was found to have taken the short cut.", False),
         ("", "", False),
         (None, None, False),
@@ -49,6 +53,13 @@ def test_residue(spark, title, text, want):
     assert residue(spark, [(title, text), ("Other story", STORY)])[0] is want
 
 
+def test_duplicated_responses_without_a_notice_need_a_mismatch(spark):
+    odd = "Zone 7 is resting.\n" + "Come along when the lights are green again. " * 15
+    rows = [(f"Harbour vote {i}", odd.replace("7", str(i))) for i in range(3)] + [("Zone lights resting green", odd), ("Bridge vote", STORY)]
+    assert residue(spark, rows) == [True, True, True, False, False]
+    assert residue(spark, [rows[0], rows[3], rows[4]]) == [False] * 3  # served for two stories only
+
+
 def test_residue_empty(spark):
     assert find_residue(spark.createDataFrame([], schemas.ARTICLE_SNAPSHOTS)).count() == 0
 
