@@ -7,21 +7,25 @@ next window, so sources keep to their shares over any stretch of containers alth
 
 Documents are spread over packing partitions by the hash of their id, so a source with a third of all rows is in all of
 them. A partition packs all it has, so the credits it ends with follow from its totals; those a partition begins with are
-prefix sums over the partitions before, and all partitions run side by side. Containers that stay underfilled at a partition's
-end are taken apart and packed again together with those of other partitions, level by level.
+prefix sums over the partitions before, and all partitions run side by side. The emptiest containers of a partition are
+taken apart and packed again together with those of others, level by level, with the credits that the containers closed so
+far leave. A partition sends on no more than its part of one partition, so none grows, however badly items fit; what is
+not sent on is closed as it is.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections import defaultdict
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.tokens import TOKENIZER, token_sizes
-from quillspark.session import written
+from quillspark.session import ship_package, written
 
 #: More plans than this are refused; a plan is a line of configuration.
 MAX_PLANS = 1000
@@ -63,7 +67,7 @@ def pack_queue(items: list[tuple[int, str, int]], capacity: int, shares: dict[st
     return out, credit
 
 
-def _pack(level: int, last: bool, least: float):
+def _pack(level: int, last: bool, least: float, most: int):
     schema = ["plan_name", "capacity", "doc_id", "piece", "token_start", "tokens", "source", "bucket", "container", "place", "tail"]
 
     def work(key: tuple, rows: pd.DataFrame, credits: pd.DataFrame) -> pd.DataFrame:
@@ -76,8 +80,12 @@ def _pack(level: int, last: bool, least: float):
         sizes = rows["tokens"].to_numpy()
         boxes, _ = pack_queue(list(zip(range(len(rows)), rows["source"], sizes.tolist(), strict=True)), capacity, shares, start)
         at, name, place, tail = [], [], [], []
+        full = np.array([sizes[box].sum() for box in boxes])
+        emptiest = np.argsort(full, kind="stable")
+        again = np.zeros(len(boxes), bool)
+        again[emptiest] = (full[emptiest] < least * capacity) & (np.cumsum(full[emptiest]) <= most)
         for k, box in enumerate(boxes):
-            short = not last and sizes[box].sum() < least * capacity
+            short = bool(again[k]) and not last
             at += box
             name += [f"{level}-{key[1]}-{k}"] * len(box)
             place += range(len(box))
@@ -88,15 +96,18 @@ def _pack(level: int, last: bool, least: float):
     return work
 
 
-def pack(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, part_tokens: int = PART_TOKENS, least: float = 0.98) -> DataFrame:
+def pack(documents: DataFrame, plans: DataFrame, targets: DataFrame | None = None, tokenizer: str = TOKENIZER, part_tokens: int = PART_TOKENS, least: float = 0.98) -> DataFrame:
     """``plan_name, container, place, doc_id, piece, token_start, tokens, source``: every text of at least one token in containers of each plan.
 
     ``container`` is unique within its plan. A text is one piece (0) unless it alone exceeds the capacity: then its first
-    pieces fill a container each and the rest is an item like others. Shares are those of the sources in all tokens. Rows of
+    pieces fill a container each and the rest is an item like others. Sources keep to the shares in ``targets`` (source,
+    target_share; relative to their sum, of repeated rows the greatest, null or not above 0 is none) as long as they last, without
+    it to their own shares in all tokens. Rows of
     plans that are null, repeated or have no capacity of at least 1 are no plans. Empty and null texts need no room and
     don't come out; empty tables give no rows.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     rows = plans.where("plan_name is not null and capacity_tokens >= 1").groupBy("plan_name").agg(F.max("capacity_tokens").alias("capacity")).limit(MAX_PLANS + 1).collect()
     if len(rows) > MAX_PLANS:
         raise ValueError(f"more than {MAX_PLANS} plans")
@@ -108,6 +119,11 @@ def pack(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, par
     total = by_source.agg(F.sum("t")).head()[0] or 0
     parts = max(1, -(-total // part_tokens))
     shares = by_source.select("source", (F.col("t") / F.lit(float(max(total, 1)))).alias("share"))
+    if targets is not None:
+        wanted = targets.where("target_share > 0 and not isnan(target_share)").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.max("target_share").alias("w"))
+        wanted = by_source.select("source").join(wanted, "source", "left")
+        sum_w = wanted.agg(F.sum("w")).head()[0] or 1.0
+        shares = written(wanted.select("source", (F.coalesce("w", F.lit(0.0)) / F.lit(float(sum_w))).alias("share")))
     listed = F.array(*[F.struct(F.lit(r[0]).alias("plan_name"), F.lit(int(r[1])).cast("long").alias("capacity")) for r in rows])
     items = sizes.select("doc_id", "source", F.col("tokens").alias("size"), F.inline(listed))
     pieces = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("capacity")))).alias("piece")).select(
@@ -119,13 +135,9 @@ def pack(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, par
     while True:
         last = parts == 1
         todo = written(todo)
-        totals = todo.groupBy("plan_name", "bucket", "source").agg(F.sum("tokens").alias("t"))
-        grid = _grid(totals, shares)
-        before = Window.partitionBy("plan_name", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        credit = F.coalesce(F.sum(F.col("share") * F.col("all") - F.col("t")).over(before), F.lit(0.0))
-        carried = written(grid.select(F.col("plan_name").alias("of_plan"), F.col("bucket").alias("of_bucket"), "source", "share", credit.alias("credit")))
+        carried = written(_credits(todo, done[1:], shares))
         out = todo.groupBy("plan_name", "bucket").cogroup(carried.groupBy("of_plan", "of_bucket")).applyInPandas(
-            _pack(level, last, least), "plan_name string, capacity long, doc_id long, piece int, token_start long, tokens long, source string, bucket long, container string, place int, tail boolean"
+            _pack(level, last, least, part_tokens // FAN_IN), "plan_name string, capacity long, doc_id long, piece int, token_start long, tokens long, source string, bucket long, container string, place int, tail boolean"
         )
         out = written(out)
         done.append(out.where("not tail").select("plan_name", "container", "place", "doc_id", "piece", "token_start", "tokens", "source"))
@@ -140,12 +152,21 @@ def pack(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, par
     return result
 
 
-def _grid(totals: DataFrame, shares: DataFrame) -> DataFrame:
-    """``plan_name, bucket, source, share, all, t``: also for sources that a bucket has nothing of. One row per bucket and source, so as small as partitions times sources."""
-    every = shares.agg(F.collect_list(F.struct("source", "share")).alias("s"))
-    buckets = totals.groupBy("plan_name", "bucket").agg(F.sum("t").alias("all"), F.map_from_entries(F.collect_list(F.struct("source", "t"))).alias("m"))
-    one = buckets.withColumn("k", F.lit(1)).join(F.broadcast(every.withColumn("k", F.lit(1))), "k")
-    return one.select("plan_name", "bucket", "all", "m", F.inline("s")).select("plan_name", "bucket", "source", "share", F.col("all").cast("double").alias("all"), F.coalesce(F.try_element_at("m", F.col("source")), F.lit(0)).cast("double").alias("t"))
+def _credits(todo: DataFrame, closed: list[DataFrame], shares: DataFrame) -> DataFrame:
+    """``of_plan, of_bucket, source, share, credit``: what each source of a bucket begins with: its share of all tokens in containers closed at earlier levels and in the buckets before, less its own."""
+    totals = todo.groupBy("plan_name", "bucket", "source").agg(F.sum("tokens").alias("t"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    buckets = totals.groupBy("plan_name", "bucket").agg(F.sum("t").alias("all"))
+    buckets = buckets.select("plan_name", "bucket", zero(F.sum("all").over(before("plan_name"))).alias("all"))
+    each = totals.withColumn("t", zero(F.sum("t").over(before("plan_name", "source")))).join(buckets, ["plan_name", "bucket"]).join(shares, "source")
+    credit = F.col("share") * F.col("all") - F.col("t")
+    if closed:
+        packed = reduce(DataFrame.unionByName, [d.select("plan_name", "source", "tokens") for d in closed]).groupBy("plan_name", "source").agg(F.sum("tokens").alias("own"))
+        sums = packed.groupBy("plan_name").agg(F.sum("own").alias("sum"))
+        each = each.join(sums, "plan_name", "left").join(packed, ["plan_name", "source"], "left")
+        credit = credit + F.col("share") * zero(F.col("sum")) - zero(F.col("own"))
+    return each.select(F.col("plan_name").alias("of_plan"), F.col("bucket").alias("of_bucket"), "source", "share", credit.alias("credit"))
 
 
 def fill_report(packed: DataFrame, plans: DataFrame) -> DataFrame:
