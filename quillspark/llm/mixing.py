@@ -2,7 +2,7 @@
 
 The size of a mix is the largest at which no source has to repeat a text more often than allowed. A source's expected
 copies of each text are then its target over its tokens. Texts of a source stand in order of size; expected copies are
-summed up along the order, one random offset is added (that of a few which meets the target best), and a copy comes out for each whole number that is crossed. So a
+summed up along the order, one random offset is added, and a copy comes out for each whole number that is crossed. So a
 text is used floor or ceiling of its expected copies, sizes are met to within a text, and the order spreads over all sizes.
 
 A text's place in its source needs no sort of the source: places within (source, size, stretch of the hash) are added
@@ -15,11 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.tokens import TOKENIZER, token_sizes
-from quillspark.session import written
-
-#: Random offsets of which the one that comes closest to a source's target is used, as a few very long texts can be off it.
-OFFSETS = 64
-
+from quillspark.session import ship_package, written
 
 def usable_targets(targets: DataFrame) -> DataFrame:
     """One row per (mix_name, source): repeated rows count once, of rows that differ the greater share, then the greater limit, holds. Shares that are null or not above 0, and limits below 1, are none."""
@@ -64,6 +60,7 @@ def select_mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENI
     Documents without tokens or of sources that no mix names don't come out; empty tables give no rows. The same ``seed``
     gives the same selection however the data are partitioned.
     """
+    ship_package(documents.sparkSession)
     sizes = written(token_sizes(documents, tokenizer))
     return _select(sizes, targets, total_tokens, seed)
 
@@ -75,18 +72,15 @@ def _copies(offset: Column) -> Column:
 
 def _select(sizes: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int) -> DataFrame:
     u = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source"), F.lit(2**40)) / F.lit(float(2**40))
-    p = plan(sizes, targets, total_tokens).where("copies > 0").select("mix_name", "source", F.col("copies").alias("c"), (F.col("copies") * F.col("source_tokens")).alias("wanted"), u.alias("u"))
+    p = plan(sizes, targets, total_tokens).where("copies > 0").select("mix_name", "source", F.col("copies").alias("c"), u.alias("u"))
     # Targets are configuration: a row per source of a mix, however many documents there are.
-    chosen = places(sizes).join(p, "source")
-    tries = [F.pmod(F.col("u") + F.lit(k / OFFSETS), F.lit(1.0)) for k in range(OFFSETS)]
-    sums = chosen.groupBy("mix_name", "source").agg(F.first("u").alias("u"), F.first("wanted").alias("wanted"), *[F.sum(F.col("tokens") * _copies(t)).alias(f"s{k}") for k, t in enumerate(tries)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("wanted")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
-    offset = sums.select("mix_name", "source", F.pmod(F.col("u") + best / F.lit(float(OFFSETS)), F.lit(1.0)).alias("offset"))
-    return chosen.join(offset, ["mix_name", "source"]).select("mix_name", "source", "doc_id", "tokens", _copies(F.col("offset")).cast("int").alias("copies")).where("copies > 0")
+    copies = _copies(F.col("u")).cast("int").alias("copies")
+    return places(sizes).join(p, "source").select("mix_name", "source", "doc_id", "tokens", copies).where("copies > 0")
 
 
 def share_report(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None, seed: int = 1) -> DataFrame:
     """``mix_name, source, target_share, reached_share, tokens, texts, max_repeats, most_copies, mean_copies``, also for sources without texts."""
+    ship_package(documents.sparkSession)
     sizes = written(token_sizes(documents, tokenizer))
     got = _select(sizes, targets, total_tokens, seed).groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("texts"), F.max("copies").alias("most_copies"))
     p = plan(sizes, targets, total_tokens).select("mix_name", "source", "target_share", "max_repeats", F.col("copies").alias("mean_copies"))
