@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.vectors import components
-from quillspark.session import written
+from quillspark.session import ship_package, written
 
 TITLES = frozenset("mr mrs ms miss dr prof professor sir dame lord lady rev reverend capt captain col gen general lt maj sgt cllr councillor sen rep hon judge justice president minister".split())
 SMALL = frozenset("the of and for".split())
@@ -259,11 +259,20 @@ def compare(a: list[str], b: list[str], weight: dict[str, float], nicks: dict[st
     return sim, "strong"
 
 
-def _verify(nicks: dict[str, set[str]], threshold: float):
+def _verify(threshold: float):
+    """Nicknames are those listed and those quoted in the data for tokens of the two spellings (``na``, ``nb``)."""
+    listed = {k: set(v.split()) for k, v in NICKNAMES.items()}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for ra, rb, wa, wb in zip(x["ra"], x["rb"], x["wa"], x["wb"], strict=True):
+            for ra, rb, wa, wb, na, nb in zip(x["ra"], x["rb"], x["wa"], x["wb"], x["na"], x["nb"], strict=True):
+                nicks = listed
+                for n in (na, nb):
+                    for t in n if n is not None else ():
+                        if nicks is listed:
+                            nicks = dict(listed)
+                        nicks[t["token"]] = nicks.get(t["token"], set()) | {t["b"]}
                 w = {t["t"]: t["w"] for s in (wa, wb) for t in s}
                 best = max((compare(list(p), list(r), w, nicks) for p in ra for r in rb), key=lambda s: ({"no": 0, "weak": 1, "strong": 2}[s[1]], s[0]))
                 out.append(best if best[0] >= threshold else (best[0], "no"))
@@ -280,15 +289,15 @@ def link_names(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     table gives no rows. Ties are broken by the smaller spelling id, which only names the class.
     """
     spark = signals.sparkSession
+    ship_package(spark)
     read_schema = "id long, spelling string, n long, readings array<array<string>>, nick string, lower array<string>, upper boolean"
     ids = spellings(signals).withColumn("id", F.monotonically_increasing_id())
     base = written(ids.select("id", "spelling", "n").mapInPandas(_read, read_schema))
-    # The names that nicknames are quoted with; at most one row per pair of given names, and only the first 10,000 are used.
-    learnt = base.where("nick is not null").groupBy("nick").count().orderBy(F.col("count").desc(), "nick").limit(10_000).toPandas()["nick"]
-    nicks = {k: set(v.split()) for k, v in NICKNAMES.items()}
-    for pair in learnt:
-        short, _, whole = pair.partition(" ")
-        nicks.setdefault(short, set()).add(whole)
+    # Nicknames: those listed, and those quoted in the data with the names they stand for.
+    listed = spark.createDataFrame([(k, x) for k, v in NICKNAMES.items() for x in v.split()], "token string, b string")
+    quoted = base.where("nick is not null").select(F.regexp_extract("nick", r"^(\S*) (.*)$", 1).alias("token"), F.regexp_extract("nick", r"^(\S*) (.*)$", 2).alias("b")).distinct()
+    quoted = written(quoted.join(listed, ["token", "b"], "left_anti"))
+    known = listed.unionByName(quoted)
 
     small = base.where("not upper").select(F.explode(F.array_distinct("lower")).alias("token")).groupBy("token").agg(F.count("*").alias("small"))
     each = base.select("id", "upper", F.explode(F.array_distinct(F.flatten("readings"))).alias("token"))
@@ -297,9 +306,7 @@ def link_names(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     general = each.join(stats.where("general"), "token").select("id").distinct()
     names = base.join(general, "id", "left_anti").where(F.size(F.flatten("readings")) > 0)
 
-    # A nickname is as common as the name it stands for.
-    known = spark.createDataFrame([(k, x) for k, v in nicks.items() for x in sorted(v)], "token string, b string")
-    # The names of nicknames too, as a typing error of one matches the nickname.
+    # A nickname is as common as the name it stands for. The names of nicknames too, as a typing error of one matches the nickname.
     near = similar_tokens(stats.select("token").unionByName(known.select(F.col("b").alias("token"))).distinct())
     more = near.join(stats.select(F.col("token").alias("b"), F.col("df").alias("dfb")), "b").groupBy(F.col("a").alias("token")).agg(F.max("dfb").alias("more"))
     full_df = known.join(stats.select(F.col("token").alias("b"), F.col("df").alias("dfb")), "b").groupBy("token").agg(F.max("dfb").alias("more"))
@@ -309,10 +316,11 @@ def link_names(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     # Single letters say little.
     weight = weight.select("token", F.when(F.length("token") == 1, F.least("w", F.lit(0.5))).otherwise(F.col("w")).alias("w"))
     w = each.join(weight, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "token", "w"))).alias("ws"))
-    named = written(names.join(w, "id").select("id", "readings", "ws"))
+    own = each.join(quoted, "token").groupBy("id").agg(F.collect_list(F.struct("token", "b")).alias("nicks"))
+    named = written(names.join(w, "id").join(own, "id", "left").select("id", "readings", "ws", "nicks"))
     pairs = candidates(named, soft_matches(stats.select("token"), near, known))
-    side = lambda s: named.select(F.col("id").alias(f"i{s}"), F.col("readings").alias(f"r{s}"), F.transform("ws", lambda x: F.struct(x["token"].alias("t"), x["w"].alias("w"))).alias(f"w{s}"))
-    links = written(pairs.join(side("a"), "ia").join(side("b"), "ib").mapInPandas(_verify(nicks, threshold), "ia long, ib long, kind string, sim double"))
+    side = lambda s: named.select(F.col("id").alias(f"i{s}"), F.col("readings").alias(f"r{s}"), F.transform("ws", lambda x: F.struct(x["token"].alias("t"), x["w"].alias("w"))).alias(f"w{s}"), F.col("nicks").alias(f"n{s}"))
+    links = written(pairs.join(side("a"), "ia").join(side("b"), "ib").mapInPandas(_verify(threshold), "ia long, ib long, kind string, sim double"))
 
     strong = components(links.where("kind = 'strong'").select(F.greatest("ia", "ib").alias("u"), F.least("ia", "ib").alias("v")))
     cls = written(base.select("id", "readings").join(strong, "id", "left").select("id", F.coalesce("root", "id").alias("c"), F.element_at("readings", 1).alias("r")))

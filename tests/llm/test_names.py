@@ -104,3 +104,11 @@ def test_candidates_hold_all_that_brute_force_accepts(spark):
                 want.add((i, j))
     assert len(want) > 100
     assert not [(spelled[i], spelled[j]) for i, j in sorted(want - got)]
+
+
+def test_all_quoted_nicknames_count(spark):
+    # more pairs of nickname and name than any list a driver would keep, each quoted once
+    rows = [([f"Name{i:05d}x “Nick{i:05d}y” Surname{i % 7}berg", f"Nick{i:05d}y Surname{i % 7}berg"], None) for i in range(40)]
+    df = spark.createDataFrame(rows, "named_entities array<string>, event_label string")
+    got = {r["spelling"]: r["class_id"] for r in N.link_names(df).collect()}
+    assert all(got[a[0]] == got[a[1]] for a, _ in rows)
