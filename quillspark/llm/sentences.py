@@ -18,12 +18,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import ship_package, written
+
 TERMINAL = frozenset(".!?…。！？．।॥؟۔")
 WIDE_TERMINAL = frozenset("。！？")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "‘": "’"}
@@ -246,11 +249,27 @@ def events_of(text: str, a: int, b: int, vocabulary: set[str]) -> tuple[list[Tok
 class Model:
     """The n-grams of the hidden event: a boundary after ``l2 l1``, and a boundary before ``r1 r2``, each with its backoffs."""
 
-    def __init__(self, vocabulary: set[str], after: dict, before: dict, prior: float):
-        self.vocabulary, self.after, self.before, self.prior = vocabulary, after, before, prior
+    def __init__(self, vocabulary: set[str], after: dict, before: dict):
+        self.vocabulary, self.after, self.before = vocabulary, after, before
+        self.prior = _logit(after.get(ALL, 0.5))
+        self._known: dict[tuple, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
 
     def odds(self, l2: str, l1: str, r1: str, r2: str) -> float:
-        return _logit(_look(self.after, l2, l1)) + _logit(_look(self.before, r2, r1)) - self.prior
+        key = (l2, l1, r1, r2)
+        got = self._known.get(key)
+        if got is None:
+            got = _logit(_look(self.after, l2, l1)) + _logit(_look(self.before, r2, r1)) - self.prior
+            if len(self._known) > 500_000:
+                self._known.clear()
+            self._known[key] = got
+        return got
+
+
+#: The coarsest context.
+ALL = (0, "", "")
 
 
 def _logit(p: float) -> float:
@@ -259,17 +278,24 @@ def _logit(p: float) -> float:
 
 def _look(table: dict, far: str, near: str) -> float:
     """The longest context that is known."""
-    for key in ((far, near), (_kind_of(far), near, 0), (near,), (_kind_of(near), 0)):
+    for key in reversed(_keys(far, near)):
         if key in table:
             return table[key]
-    return table["#"]
+    return 0.5
 
 
 def _keys(far: str, near: str) -> tuple:
-    """Contexts from the coarsest to the finest."""
-    return ("#", (_kind_of(near), 0), (near,), (_kind_of(far), near, 0), (far, near))
+    """Contexts from the coarsest to the finest: ``(level, a, b)``."""
+    return (ALL, (1, _kind_of(near), ""), (2, near, ""), (3, _kind_of(far), near), (4, far, near))
 
 
+def _above(key: tuple) -> tuple | None:
+    """The next coarser context."""
+    level, a, b = key
+    return None if level == 0 else ALL if level == 1 else (1, _kind_of(a), "") if level == 2 else (2, b, "") if level == 3 else (3, _kind_of(a), b)
+
+
+@lru_cache(maxsize=200_000)
 def _kind_of(form: str) -> str:
     """A coarser class of a form."""
     if form[:1] == "<" or form in ("^", "$"):
@@ -287,47 +313,29 @@ def _group(form: str) -> str:
     return "thai" if k == "<th>" else "wide" if k == "<w>" or any(c in form for c in "。！？」』：") else "spaced"
 
 
-def _table(certain: dict, mass: dict, seen: dict, factor: dict[str, float], weight: tuple[float, ...] = (0, 2, 8, 8, 6)) -> dict:
-    """Share of events that are boundaries, by context. ``certain`` has the paragraph edges, ``mass`` the expected boundaries, ``seen`` the events.
+def _table(seen: dict, edge: dict, mass: dict, weight: tuple[float, ...] = (0, 2, 8, 8, 6)) -> dict:
+    """Share of events that are boundaries, by context ``(level, a, b)``: events, paragraph edges times their factor, expected boundaries.
 
     How often a context stands at a paragraph's edge tells how often it stands at a boundary within paragraphs, by the
     factor of its script; expected boundaries are mixed in half and half once there are some. Each context falls back on the next coarser.
     """
     out: dict = {}
-    edge, got, all_ = Counter(), Counter(), Counter()
-    for (far, near), c in certain.items():
-        f = factor[_group(near)]
-        for k in _keys(far, near):
-            edge[k] += c * f
-    for (far, near), c in seen.items():
-        m = mass.get((far, near))
-        for k in _keys(far, near):
-            all_[k] += c
-            if m is not None:
-                got[k] += m
-    for (far, near), _ in seen.items():
-        below = 0.5
-        for k, w in zip(_keys(far, near), weight, strict=True):
-            if k not in out:
-                n = all_[k]
-                est = min(edge[k], n)
-                if mass:
-                    est = 0.5 * est + 0.5 * got[k]
-                out[k] = min(max((est + w * below) / (n + w), 0.002), 0.998)
-            below = out[k]
+    for k in sorted(seen):
+        n = seen[k]
+        est = min(edge.get(k, 0.0), n)
+        if mass:
+            est = 0.5 * est + 0.5 * mass.get(k, 0.0)
+        up = _above(k)
+        w = weight[k[0]]
+        out[k] = min(max((est + w * (out[up] if up else 0.5)) / (n + w), 0.002), 0.998)
     return out
 
 
-def _factor(certain: dict, seen: dict) -> dict[str, float]:
-    """Boundaries within paragraphs for each one at an edge, by script: that of contexts which nearly always are at one, as most are."""
+def _factor(near: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Boundaries within paragraphs for each one at an edge, by script: that of contexts which nearly always are at one, as most are. ``near`` has events and edges of each form."""
     out = {}
-    edge, inner = Counter(), Counter()
-    for (_, near), c in certain.items():
-        edge[near] += c
-    for (_, near), c in seen.items():
-        inner[near] += c
     for g in ("thai", "wide", "spaced"):
-        pairs = sorted((inner[k] / max(edge[k], 0.5), inner[k]) for k in inner if _group(k) == g)
+        pairs = sorted((inner / max(edge, 0.5), inner) for k, (inner, edge) in near.items() if inner and _group(k) == g)
         total, at = sum(n for _, n in pairs), 0.0
         out[g] = 1.0
         for ratio, n in pairs:
@@ -338,32 +346,6 @@ def _factor(certain: dict, seen: dict) -> dict[str, float]:
     return out
 
 
-def train(events: Counter, ends: Counter, starts: Counter, vocabulary: set[str], rounds: int = 4) -> Model:
-    """Expectation-maximisation over distinct events ``(l2, l1, r1, r2)`` with their counts; paragraph ends and starts are certain."""
-    keys = list(events)
-    n = np.array([events[k] for k in keys], float)
-    begin = {(r2, r1): c for (r1, r2), c in starts.items()}
-    left, right = Counter(), Counter()
-    for (l2, l1, r1, r2), c in events.items():
-        left[(l2, l1)] += c
-        right[(r2, r1)] += c
-    after_factor, before_factor = _factor(ends, left), _factor(begin, right)
-    mass_l: dict = {}
-    mass_r: dict = {}
-    model = Model(vocabulary, {"#": 0.5}, {"#": 0.5}, 0.0)
-    for _ in range(rounds):
-        after, before = _table(ends, mass_l, left, after_factor), _table(begin, mass_r, right, before_factor)
-        model = Model(vocabulary, after, before, _logit(after.get("#", 0.5)))
-        p = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, model.odds(*k))))) for k in keys])
-        mass_l, mass_r = Counter(), Counter()
-        for (l2, l1, r1, r2), m in zip(keys, n * p, strict=True):
-            mass_l[(l2, l1)] += m
-            mass_r[(r2, r1)] += m
-    model.after.setdefault("#", 0.5)
-    model.before.setdefault("#", 0.5)
-    return model
-
-
 def posteriors(events: list[tuple], model: Model) -> np.ndarray:
     """Probability of a boundary at each event: forward-backward over two states, as an event can be the context of the next."""
     n = len(events)
@@ -448,28 +430,90 @@ def _count_events(vocabulary) -> callable:
     return run
 
 
-def fit(documents: DataFrame, vocabulary_size: int = 4000, most_events: int = 1_000_000) -> Model:
-    """The model over all documents; texts that occur more than once count once.
+_KEYED = "side int, level int, a string, b string, seen double, edge double"
+
 
-    Counts are aggregated where the texts are. The driver gets the ``vocabulary_size`` most frequent tokens and the
-    ``most_events`` most frequent different events (documented bounds); a rarer token counts as its class.
+def _by_level(factors: list[dict[str, float]]) -> callable:
+    """Events and paragraph edges of each context, for it and all coarser ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen, edge = Counter(), Counter()
+            for side, far, near, n, c in zip(b["side"], b["far"], b["near"], b["seen"], b["certain"], strict=True):
+                c *= factors[side][_group(near)]
+                for k in _keys(far, near):
+                    seen[(side, *k)] += n
+                    edge[(side, *k)] += c
+            if seen:
+                k = list(zip(*seen, strict=True))
+                yield pd.DataFrame({"side": k[0], "level": k[1], "a": k[2], "b": k[3], "seen": list(seen.values()), "edge": [edge[x] for x in seen]})
+
+    return run
+
+
+def _expected(model) -> callable:
+    """Expected boundaries of the contexts that the model has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        for b in batches:
+            mass = Counter()
+            for l2, l1, r1, r2, n in zip(b["x1"], b["x2"], b["x3"], b["x4"], b["n"], strict=True):
+                p = n / (1 + math.exp(-max(-30.0, min(30.0, m.odds(l2, l1, r1, r2)))))
+                for side, table, far, near in ((0, m.after, l2, l1), (1, m.before, r2, r1)):
+                    for k in _keys(far, near):
+                        if k in table:
+                            mass[(side, *k)] += p
+            if mass:
+                k = list(zip(*mass, strict=True))
+                yield pd.DataFrame({"side": k[0], "level": k[1], "a": k[2], "b": k[3], "mass": list(mass.values())})
+
+    return run
+
+
+def _rows(df: DataFrame) -> Iterator[tuple]:
+    return df.toPandas().itertuples(index=False, name=None)
+
+
+def fit(documents: DataFrame, vocabulary_size: int = 4000, finest: int = 500_000, rounds: int = 4) -> Model:
+    """The model over all documents, by expectation-maximisation; texts that occur more than once count once.
+
+    Different events ``(l2, l1, r1, r2)`` stay a distributed table, and each round takes expectations over all of them. The
+    driver gets tables of contexts only: those of the ``vocabulary_size`` most frequent tokens (a rarer token counts as
+    its class) and classes, and of each side the ``finest`` most frequent pairs of tokens. An event of a rarer pair isn't
+    left out: it counts in all coarser contexts, and is scored by them.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     texts = documents.where("text is not null").select("text").dropDuplicates(["text"])
     words = texts.mapInPandas(_count_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     vocabulary = {r[0] for r in words.orderBy(F.col("n").desc(), "token").limit(vocabulary_size).collect()}
     shared = spark.sparkContext.broadcast(vocabulary)
     counts = texts.mapInPandas(_count_events(shared), "kind string, x1 string, x2 string, x3 string, x4 string, n long").groupBy("kind", "x1", "x2", "x3", "x4").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("n").desc(), "kind", "x1", "x2", "x3", "x4").limit(most_events).toPandas()
-    events, ends, starts = Counter(), Counter(), Counter()
-    for kind, a, b, c, d, n in rows.itertuples(index=False, name=None):
-        if kind == "g":
-            events[(a, b, c, d)] += n
-        elif kind == "s":
-            starts[(a, b)] += n
-        else:
-            ends[(a, b)] += n
-    return train(events, ends, starts, vocabulary)
+    counts = written(counts)
+    events = counts.where("kind = 'g'")
+    inner = [events.select(F.lit(0).alias("side"), F.col("x1").alias("far"), F.col("x2").alias("near"), F.col("n").alias("seen"), F.lit(0).alias("certain")), events.select(F.lit(1), "x4", "x3", "n", F.lit(0))]
+    edges = [counts.where("kind = 'e'").select(F.lit(0), "x1", "x2", F.lit(0), "n"), counts.where("kind = 's'").select(F.lit(1), "x2", "x1", F.lit(0), "n")]
+    contexts = reduce(DataFrame.union, [*inner, *edges]).groupBy("side", "far", "near").agg(F.sum("seen").cast("double").alias("seen"), F.sum("certain").cast("double").alias("certain"))
+    contexts = written(contexts)
+    near: list[dict] = [{}, {}]
+    for side, form, n, c in _rows(contexts.groupBy("side", "near").agg(F.sum("seen"), F.sum("certain"))):
+        near[side][form] = (n, c)
+    levels = written(contexts.mapInPandas(_by_level([_factor(x) for x in near]), _KEYED).groupBy("side", "level", "a", "b").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge")).where("seen > 0"))
+    top = [levels.where(f"level = 4 and side = {i}").orderBy(F.col("seen").desc(), "a", "b").limit(finest) for i in (0, 1)]
+    seen: list[dict] = [{}, {}]
+    edge: list[dict] = [{}, {}]
+    for side, level, a, b, n, c in _rows(levels.where("level < 4").unionByName(top[0]).unionByName(top[1])):
+        seen[side][(level, a, b)], edge[side][(level, a, b)] = n, c
+    mass: list[dict] = [{}, {}]
+    for done in range(rounds):
+        model = Model(vocabulary, *[_table(seen[i], edge[i], mass[i]) for i in (0, 1)])
+        if done < rounds - 1:
+            mass = [{}, {}]
+            expected = events.mapInPandas(_expected(spark.sparkContext.broadcast(model)), "side int, level int, a string, b string, mass double")
+            for side, level, a, b, m in _rows(expected.groupBy("side", "level", "a", "b").agg(F.sum("mass"))):
+                mass[side][(level, a, b)] = m
+    return model
 
 
 def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -480,6 +524,7 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     are ignored.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model or fit(documents))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

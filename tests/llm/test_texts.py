@@ -39,6 +39,15 @@ def test_sentences(model):
     assert parts("图书馆称：“够了！没有人问过我们。”“没有人问过我们。”农民协会的发言人说。真没想到！", model) == ["图书馆称：“够了！没有人问过我们。”", "“没有人问过我们。”农民协会的发言人说。", "真没想到！"]
 
 
+def test_rare_contexts_count_in_coarser_ones(spark, model):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(corpus())], DOCS)
+    few = S.fit(docs, finest=5)
+    assert sum(k[0] == 4 for k in few.after) == 5 < sum(k[0] == 4 for k in model.after)
+    coarse = lambda m: {k for k in m.before if k[0] < 4}
+    assert coarse(few) == coarse(model)
+    assert parts("Mr. Jones defended the budget on Monday. Really?! Growers defended the bridge on Monday.", few) == ["Mr. Jones defended the budget on Monday.", "Really?!", "Growers defended the bridge on Monday."]
+
+
 def test_headings_lists_times_and_wraps(model):
     assert parts("Key dates\n\n• one thing\n• another\n  thing\n\n18:37 Growers defended the budget. It rained", model) == ["Key dates", "• one thing", "• another\n  thing", "18:37 Growers defended the budget. It rained"]
     assert parts("The council defended\nthe bridge on Monday.", model) == ["The council defended\nthe bridge on Monday."]
