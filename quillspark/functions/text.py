@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Topics that labels may have, and what else they are called.
 TOPICS = ["politics", "world", "business", "science_and_environment", "technology", "health", "education", "culture", "sport", "other"]
@@ -36,19 +34,26 @@ def embedding_text(title: Column, body: Column, length: int = 4000) -> Column:
     return F.trim(F.concat(t, F.lit("\n\n"), F.substring(rest, 1, length)), F.lit(" \n"))
 
 
-@F.pandas_udf(StringType())
-def _cut_bytes(text: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else t.encode()[:n].decode(errors="ignore") for t, n in zip(text, size, strict=True)])
+def truncate_utf8(text: Column, size: int) -> Column:
+    """At most ``size`` bytes of UTF-8, without a broken character, within the JVM: the cut goes back to where a character begins."""
+    b = F.encode(text, "UTF-8")
+    inside = lambda i: F.hex(F.substring(b, i, 1)).rlike("^[89AB]") if i > 0 else F.lit(False)
+    end = F.when(~inside(size + 1), size).when(~inside(size), size - 1).when(~inside(size - 1), size - 2).otherwise(size - 3)
+    cut = F.substring(b, F.lit(1), F.greatest(end, F.lit(0))).cast("string")
+    return F.when(F.octet_length(text) <= size, text).otherwise(cut)
 
 
-def truncate_utf8(text: Column, size: int) -> Column:
-    """At most ``size`` bytes of UTF-8, without a broken character. Texts that fit don't leave the JVM's short way."""
-    return _cut_bytes(text, F.lit(size))
+def casefold(text: Column) -> Column:
+    """Small letters for comparing, where folding makes more of them alike than ``lower`` does: sharp and long s, final sigma, ligatures."""
+    folded = F.lower(text)
+    for a, b in (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    return F.translate(folded, "ſς", "sσ")
 
 
 def label_tokens(text: Column) -> Column:
     """The set of runs of Latin letters and digits, in small letters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -58,7 +63,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def event_entities(names: Column, generic: list[str] = GENERIC_ENTITIES) -> Column:
     """Names trimmed, in small letters, once each, without empty and generic ones."""
-    clean = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    clean = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: casefold(F.trim(x)))
     return F.array_sort(F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & (x != "") & ~x.isin(generic))))
 
 

@@ -38,3 +38,13 @@ def collection_day(fetched: Column) -> Column:
 
 def freshness(latest: Column, now: Column, hours: int = 3) -> Column:
     return F.when(F.unix_seconds(now) - F.unix_seconds(latest) < hours * 3600, "Current").otherwise("Delayed")
+
+
+def this_month(at: Column, now: Column) -> Column:
+    """Whether ``at`` lies in the month of ``now``."""
+    return F.date_trunc("month", at) == F.date_trunc("month", now)
+
+
+def default_day(now: Column) -> Column:
+    """The day before ``now``: the last one that is over."""
+    return F.date_sub(F.to_date(now), 1)

@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark import schemas
 from quillspark.functions.numbers import percent
 from quillspark.functions.text import or_default
 from quillspark.functions.times import minute_boundaries
 from quillspark.functions.vector import quantized
 from quillspark.operators.latest import latest_by, newest_signals, unique_articles
+from quillspark.sinks.tables import write_json, write_table
 
 SURFACES = ("front_page", "most_read")
+#: The order that each published mart comes in (T-1 to T-4, T-8, T-9, T-18). Marts that feed others stay unordered.
+ORDERS: dict[str, list[tuple[str, bool]]] = {
+    "stories": [("last_seen", False), ("observation_count", False), ("story_id", True)],
+    "rank_series": [("observed_at", True), ("surface", True), ("position", True), ("story_id", True)],
+    "daily": [("observed_date", True)],
+    "lag": [("first_most_read", False), ("story_id", True)],
+    "trends": [("day", True), ("dimension", True), ("value", True)],
+    "recurring": [("last_seen", False), ("article_count", False), ("cluster_id", True)],
+    "recurring_events": [("cluster_id", True), ("fetched_at", True), ("content_sha256", True)],
+}
+
+
+def ordered(name: str, mart: DataFrame) -> DataFrame:
+    """``mart`` in the order in which ``name`` is published."""
+    return mart.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in ORDERS[name]]) if name in ORDERS else mart
 
 
 def story_stats(observations: DataFrame) -> DataFrame:
@@ -169,9 +186,9 @@ def event_page(recurring: DataFrame, text: str = "", page: int = 0, size: int =
     """A page of clusters, newest first, whose label, type or themes hold ``text`` (P11, P13, T-14). Pages beyond the last are the last."""
     low = F.lower(F.concat_ws(" ", "label", "event_type", F.array_join("themes", " ")))
     hit = recurring.where(F.contains(low, F.lit(text.lower()))).select("cluster_id", "label", "event_type", "last_seen", "article_count", "version_count")
-    n = hit.count()
-    last = max(0, -(-n // size) - 1)
-    at = min(max(page, 0), last)
+    at = max(page, 0)
+    if at:  # the first page exists however few there are
+        at = min(at, max(0, -(-hit.count() // size) - 1))
     return hit.orderBy(F.col("last_seen").desc(), F.col("article_count").desc(), "cluster_id").offset(at * size).limit(size)
 
 
@@ -216,8 +233,33 @@ def first_seen(observations: DataFrame, key: str = "url") -> DataFrame:
     return observations.groupBy(key).agg(F.min("observed_at").alias("first_observed_at"))
 
 
-def build_marts(observations: DataFrame, articles: DataFrame, signals: DataFrame, embeddings: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """All marts and a manifest of their rows (A29, A30, A17). What several marts read is planned once and reused by Spark."""
+def completed_days(observations: DataFrame, today: Column | None = None, most: int = 120) -> DataFrame:
+    """``observed_date, rows`` of the last days that are over: before ``today``, or without it before the last day observed."""
+    o = observations.select(F.to_date("observed_at").alias("observed_date"))
+    before = today if today is not None else o.agg(F.max("observed_date")).scalar()
+    return o.where(F.col("observed_date") < before).groupBy("observed_date").agg(F.count("*").alias("rows")).orderBy(F.col("observed_date").desc()).limit(most)
+
+
+def story_points(observations: DataFrame) -> DataFrame:
+    """The places of each story over time, for its chart."""
+    return observations.select("story_id", "observed_at", "surface", "position")
+
+
+def findings_window(covered: DataFrame, days: int = 14) -> DataFrame:
+    """``versions, recent_from, recent_to, previous_from, previous_to``: the days that momentum compares; null where nothing is labelled."""
+    w = covered.agg(F.count("*").alias("versions"), F.max(F.to_date("fetched_at")).alias("recent_to"))
+    day = lambda back: F.date_sub("recent_to", back)
+    return w.select("versions", day(days - 1).alias("recent_from"), "recent_to", day(2 * days - 1).alias("previous_from"), day(days).alias("previous_to"))
+
+
+def build_marts(observations: DataFrame, articles: DataFrame | None = None, signals: DataFrame | None = None, embeddings: DataFrame | None = None, events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All marts in their order and a manifest of their rows.
+
+    All inputs but the observations are optional: marts of one that is missing are empty, and the window of findings is null.
+    """
+    spark = observations.sparkSession
+    given = {"article_snapshots": articles, "story_signals": signals, "article_embeddings": embeddings, "recurring_events": events}
+    articles, signals, embeddings, events = (spark.createDataFrame([], schemas.TABLES[n]) if df is None else df for n, df in given.items())
     stories = story_stats(observations)
     covered = labelled(articles, signals)
     momentum = theme_momentum(covered)
@@ -225,10 +267,19 @@ def build_marts(observations: DataFrame, articles: DataFrame, signals: DataFrame
     marts = {
         "stories": stories, "rank_series": rank_series(observations), "daily": daily_surfaces(observations), "lag": surface_lag(observations), "trends": trend_cube(covered),
         "rising_themes": rising(momentum), "falling_themes": falling(momentum), "story_forms": form_shares(covered), "surface_differences": surface_differences(surface_themes(covered, stories)),
-        "coverage": coverage(articles, signals), "recurring": recurring, "returning": returning_stories(recurring), "semantic_index": semantic_index(articles, signals, embeddings, stories),
+        "findings_window": findings_window(covered), "coverage": coverage(articles, signals), "recurring": recurring, "returning": returning_stories(recurring), "semantic_index": semantic_index(articles, signals, embeddings, stories),
     }
     manifest = None
     for name, mart in marts.items():
         one = mart.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         manifest = one if manifest is None else manifest.unionByName(one)
-    return marts | {"manifest": manifest}
+    return {n: ordered(n, m) for n, m in marts.items()} | {"manifest": manifest}
+
+
+def write_marts(marts: dict[str, DataFrame], root: str) -> None:
+    """Each mart below ``root``: the index with its vectors as Parquet, all others as JSON lines."""
+    for name, mart in marts.items():
+        if name == "semantic_index":
+            write_table(mart, f"{root}/{name}", mode="overwrite")
+        else:
+            write_json(mart, f"{root}/{name}")

@@ -51,12 +51,12 @@ def _stories(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_STORIES} SELECT * FROM st")
 def story_stats(spark, folder):
-    return _stories(spark, folder)
+    return marts.ordered("stories", _stories(spark, folder))
 
 
 @query("SELECT observed_at, surface, position, story_id, title FROM observations WHERE observed_at >= (SELECT max(observed_at) FROM observations) - INTERVAL 30 DAYS")
 def rank_series_window(spark, folder):
-    return marts.rank_series(table(spark, folder, "observations"))
+    return marts.ordered("rank_series", marts.rank_series(table(spark, folder, "observations")))
 
 
 @query("""WITH d AS (SELECT CAST(observed_at AS DATE) AS observed_date, count(DISTINCT CASE WHEN surface = 'front_page' THEN story_id END) AS front_page_stories,
@@ -427,17 +427,14 @@ def iso_times(spark, folder):
     return table(spark, folder, "scrape_runs").groupBy("scrape_id").agg(F.max("completed_at").alias("c")).select("scrape_id", times.iso(F.col("c")).alias("completed"))
 
 
-@query("SELECT observed_date, count(*) AS rows FROM (SELECT CAST(observed_at AS DATE) AS observed_date, max(CAST(observed_at AS DATE)) OVER () AS last FROM observations) WHERE observed_date < last GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
+@query("SELECT observed_date, count(*) AS rows FROM (SELECT CAST(observed_at AS DATE) AS observed_date, max(CAST(observed_at AS DATE)) OVER () AS last FROM observations) WHERE observed_date < last GROUP BY 1 ORDER BY 1 DESC LIMIT 120")
 def completed_days(spark, folder):
-    o = table(spark, folder, "observations").select(F.to_date("observed_at").alias("observed_date"))
-    latest_day = o.agg(F.max("observed_date")).scalar()
-    return o.where(F.col("observed_date") < latest_day).groupBy("observed_date").agg(F.count("*").alias("rows")).orderBy(F.col("observed_date").desc()).limit(14)
+    return marts.completed_days(table(spark, folder, "observations"))
 
 
-@query("SELECT observed_at, surface, position FROM observations WHERE story_id = (SELECT min(story_id) FROM observations)")
+@query("SELECT story_id, observed_at, surface, position FROM observations")
 def story_points(spark, folder):
-    o = table(spark, folder, "observations")
-    return o.where(F.col("story_id") == o.agg(F.min("story_id")).scalar()).select("observed_at", "surface", "position")
+    return marts.story_points(table(spark, folder, "observations"))
 
 
 @query("SELECT content_sha256, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS length FROM article_embeddings WHERE len(embedding) = 384")
@@ -464,7 +461,15 @@ def html_articles(spark, folder):
     return pages.parse_articles(r, "snapshot_id", "article_html")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, ts AS "at", event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (
+  SELECT client, "at", event_id, i, [us] AS taken, true AS admitted FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.client, e."at", e.event_id, e.i,
+    CASE WHEN len(list_filter(w.taken, lambda t: t > e.us - 600000000)) < 5 THEN list_append(list_filter(w.taken, lambda t: t > e.us - 600000000), e.us) ELSE w.taken END,
+    len(list_filter(w.taken, lambda t: t > e.us - 600000000)) < 5
+  FROM w JOIN e ON e.client = w.client AND e.i = w.i + 1)
+SELECT client, "at", event_id, admitted FROM w""")
 def rate_limit_window(spark, folder):
     from quillspark.streaming.rate_limit import admit_batch
 
@@ -472,7 +477,19 @@ def rate_limit_window(spark, folder):
     return admit_batch(e, "client", "at", "event_id")
 
 
-@query()
+_MARTS = {
+    "stories": "story_stats", "rank_series": "rank_series_window", "daily": "daily_surface_overlap", "lag": "surface_lag", "trends": "semantic_trends", "rising_themes": "rising_themes", "falling_themes": "falling_themes",
+    "story_forms": "form_share", "surface_differences": "surface_theme_diff", "coverage": "coverage", "recurring": "recurring_rollup", "returning": "returning_stories", "semantic_index": "semantic_index",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM ({SQL[q]})" for n, q in _MARTS.items()) + " UNION ALL SELECT 'findings_window', 1")
 def mart_manifest(spark, folder):
     names = ("observations", "article_snapshots", "story_signals", "article_embeddings", "recurring_events")
     return marts.build_marts(*_t(spark, folder, *names))["manifest"]
+
+
+@query(f"""WITH {_COVERED}, d AS (SELECT count(*) AS versions, max(fetched_at)::DATE AS last FROM c)
+SELECT versions, last - 13 AS recent_from, last AS recent_to, last - 27 AS previous_from, last - 14 AS previous_to FROM d""")
+def findings_window(spark, folder):
+    return marts.findings_window(_covered(spark, folder))

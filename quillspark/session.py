@@ -26,7 +26,9 @@ def build_session(master: str | None = None, name: str = "quillspark", **conf: s
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    return builder.config(map=DEFAULTS | conf).getOrCreate()
+    spark = builder.config(map=DEFAULTS | conf).getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 _shipped: set[str] = set()

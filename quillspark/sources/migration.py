@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import normalize_url, stable_id
 from quillspark.functions.text import split_authors
 from quillspark.functions.times import from_utc_text, inferred_fetch, iso
+from quillspark.sinks.tables import with_day, write_table
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -56,6 +57,39 @@ def legacy_rows(spark: SparkSession, folder: str) -> DataFrame:
     return payloads(spark, folder, ".csv").mapInPandas(run, "source string, digest string, ordinal long, timestamp string, rank string, position string, title string, link string")
 
 
+def legacy_parquet(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of legacy Parquet files, loose and inside ZIPs, in ``schema`` with ``source, digest, day``; the day is in the file's name, missing columns are null."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+    types = spark.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        wanted = to_arrow_schema(types)
+        for b in batches:
+            for path, name, digest, content in zip(b["path"], b["name"], b["digest"], b["content"], strict=True):
+                t = pq.read_table(io.BytesIO(bytes(content)))
+                cols = [t[f.name].cast(f.type) if f.name in t.column_names else pa.nulls(len(t), f.type) for f in wanted]
+                d = pa.table(cols, schema=wanted).to_pandas()
+                yield d.assign(source=f"{path}!{name}", digest=digest)[["source", "digest", *names]]
+
+    got = payloads(spark, folder, ".parquet").mapInPandas(run, "source string, digest string, " + schema)
+    return got.withColumn("day", F.try_to_date(F.regexp_extract("source", r"(\d{4}-\d{2}-\d{2})[^/!]*$", 1)))
+
+
+def migrate_days(rows: DataFrame, target: str, at: str, source_commit: str) -> DataFrame:
+    """Writes ``rows`` by day below ``target`` and returns its manifest: ``path, digest, bytes, rows, source_commit`` of each file, by which a copy can be checked."""
+    spark = rows.sparkSession
+    parts = ["year", "month", "day"]
+    write_table(with_day(rows, at).repartition(*parts), target, mode="overwrite", partition_by=parts)
+    counts = spark.read.parquet(target).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("rows"))
+    tail = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+/[^/]+/[^/]+)$", 1)
+    found = files(spark, target, "*.parquet").select(tail("path").alias("path"), "digest", F.col("length").alias("bytes"))
+    return found.join(counts.select(tail("path").alias("path"), "rows"), "path", "left").select("path", "digest", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(source_commit).alias("source_commit"))
+
+
 def dense_positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``ordinal``: the running number within a group, which is one list."""
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark import schemas
-from quillspark.sinks.tables import upsert_days
+from quillspark.sinks.tables import publish_captures, upsert_days
 
 
 def read_deliveries(spark: SparkSession, folder: str, name: str, max_files: int = 100) -> DataFrame:
@@ -23,3 +25,14 @@ def upsert_stream(rows: DataFrame, target: str, keys: list[str], at: str, checkp
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def publish_stream(observations: DataFrame, runs: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Publishes micro-batches of captures: their rows and, by ``runs`` from these, the runs they belong to, both upserted. An empty batch is none."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        if not df.isEmpty():
+            publish_captures(df, runs(df), root)
+
+    writer = observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

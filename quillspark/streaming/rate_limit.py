@@ -39,14 +39,17 @@ def admit_batch(requests: DataFrame, client: str, at: str, order: str, limit: in
 
 
 def admit_stream(requests: DataFrame, client: str, at: str, limit: int = 5, seconds: int = 600) -> DataFrame:
-    """``client, at, admitted`` for a stream of requests. State of a client: the times it was admitted at, given up after the window."""
+    """``client, at, admitted`` for a stream of requests. State of a client: the times it was admitted at within the window.
+
+    With a watermark on ``at``, state goes when event time has passed its last admission by the window; without one it stays.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        taken = list(state.get[0]) if state.exists else []
+        taken = [int(t) for t in state.get[0]] if state.exists else []
         rows = sorted(us for b in batches for us in b["us"])
         out = []
         for us in rows:
@@ -56,8 +59,12 @@ def admit_stream(requests: DataFrame, client: str, at: str, limit: int = 5, seco
                 taken.append(us)
             out.append(ok)
         state.update((taken,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"client": [key[0]] * len(rows), "at_us": rows, "admitted": out})
+        end = taken[-1] // 1000 + seconds * 1000 if taken else 0
+        if marked and end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        yield pd.DataFrame({"client": [key[0]] * len(rows), "at": pd.to_datetime(pd.Series(rows, dtype="int64"), unit="us"), "admitted": out})
 
-    slim = requests.select(F.col(client).cast("string").alias("client"), F.unix_micros(at).alias("us"))
-    return slim.groupBy("client").applyInPandasWithState(run, "client string, at_us long, admitted boolean", "taken array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = "EventTimeWatermark" in requests._jdf.queryExecution().analyzed().toString()
+    timeout = GroupStateTimeout.EventTimeTimeout if marked else GroupStateTimeout.NoTimeout
+    slim = requests.select(F.col(client).cast("string").alias("client"), F.col(at), F.unix_micros(at).alias("us"))
+    return slim.groupBy("client").applyInPandasWithState(run, "client string, at timestamp, admitted boolean", "taken array<long>", "append", timeout)
