@@ -163,18 +163,21 @@ def find_residue(snapshots: DataFrame, stories: int = 3) -> DataFrame:
         return rows.select("host", "t", "story").distinct().groupBy("host", "t").agg(F.count("*").alias("n")).where(F.col("n") >= stories).select("host", "t", F.lit(True).alias("served"))
 
     head = written(head.withColumn("t", F.xxhash64(alike(F.col("longest")))))
-    could = head.where("longest is not null").join(duplicated(head.where("longest is not null")), ["host", "t"], "left").where(F.coalesce("served", F.lit(False)) | told(F.col("longest")) | furniture(F.col("longest")))
+    terms = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    mismatch = ~F.arrays_overlap(F.array_union(terms(F.col("title")), terms(F.col("slug"))), terms(F.col("text"))) | F.col("title").rlike(NOTICE)
+    told_longest = head.where("longest is not null")
+    could = told_longest.join(duplicated(told_longest), ["host", "t"], "left").where(F.coalesce("served", F.lit(False)) | told(F.col("longest")) | furniture(F.col("longest")))
+    could = written(could.select("snapshot_id", "host", "story", "text", mismatch.alias("mismatched")))
+    mismatched = could.groupBy("snapshot_id").agg(F.max("mismatched").alias("mismatched"))
     whole = could.select("snapshot_id", "host", "story", F.xxhash64(alike(F.col("text"))).alias("t"))
     whole = whole.join(duplicated(whole), ["host", "t"]).groupBy("snapshot_id").agg(F.lit(True).alias("response"))
-    each = could.select("snapshot_id", "host", "story", "title", "slug", "text", F.explode(sentences_of(F.col("text"))).alias("x")).withColumn("t", F.xxhash64(alike(F.col("x"))))
+    each = could.select("snapshot_id", "host", "story", F.explode(sentences_of(F.col("text"))).alias("x")).withColumn("t", F.xxhash64(alike(F.col("x"))))
+    each = each.select("snapshot_id", "host", "story", "t", told(F.col("x")).alias("notice"), furniture(F.col("x")).alias("furniture"))
     judged = each.join(duplicated(each), ["host", "t"], "left").groupBy("snapshot_id").agg(
-        F.max(told(F.col("x"))).alias("notice"),
-        F.min(F.coalesce("served", F.lit(False)) | told(F.col("x")) | furniture(F.col("x"))).alias("low_information"),
-        F.first("title").alias("title"), F.first("slug").alias("slug"), F.first("text").alias("text"),
-    )
-    terms = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
-    mismatch = ~F.arrays_overlap(F.array_union(terms(F.col("title")), terms(F.col("slug"))), terms(F.col("text")))
-    judged = judged.select("snapshot_id", "notice", "low_information", (mismatch | F.col("title").rlike(NOTICE)).alias("mismatched"))
+        F.max("notice").alias("notice"),
+        F.min(F.coalesce("served", F.lit(False)) | F.col("notice") | F.col("furniture")).alias("low_information"),
+    )
+    judged = judged.join(mismatched, "snapshot_id")
     out = head.join(judged.join(whole, "snapshot_id", "left"), "snapshot_id", "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     page = flag("low_information") & (flag("notice") | (flag("response") & flag("mismatched")))
