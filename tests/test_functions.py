@@ -112,3 +112,21 @@ def test_answer(spark):
     p = one(spark, jsontext.parse_answer(F.col("j"), F.lit(1)), j=json.dumps(a))
     assert [(f["claim"], f["sources"]) for f in p["findings"]] == [("c", [1])] and p["error"] is None
     assert one(spark, jsontext.parse_answer(F.col("j"), F.lit(1)), j="{}")["error"] == "no answer"
+
+
+def test_cut_bytes_at_every_length(spark):
+    t = "aé漢😀b😀é"
+    for n in range(0, 20):
+        got = one(spark, text.truncate_utf8(F.col("a"), n), a=t)
+        assert got == t.encode()[:n].decode(errors="ignore")
+
+
+def test_casefold(spark):
+    for t in ("STRASSE", "straße", "ΣΑΣ", "σας", "ﬁne", "Äpfel", "ſo"):
+        assert one(spark, text.casefold(F.col("a")), a=t) == t.casefold()
+
+
+def test_months_and_default_day(spark):
+    now = F.lit("2024-03-01 00:30:00").cast("timestamp")
+    assert one(spark, times.this_month(F.col("a").cast("timestamp"), now), a="2024-02-29 23:59:59") is False
+    assert str(one(spark, times.default_day(now), a="")) == "2024-02-29"

@@ -118,6 +118,9 @@ def test_marts_of_two_observations(spark):
     assert (s["title"], s["observation_count"], s["best_position"], s["surfaces"]) == ("t2", 2, 1, ["front_page", "most_read"])
     assert out["lag"].head()["lag_minutes"] == 120
     assert out["coverage"].head()["coverage_percent"] == 0.0
+    assert tuple(out["findings_window"].head()) == (0, None, None, None, None)
+    alone = marts.build_marts(o)
+    assert alone["stories"].head() == s and alone["semantic_index"].count() == alone["recurring"].count() == 0
     counts = {r["name"]: r["rows"] for r in out["manifest"].collect()}
     assert counts["stories"] == 1 and counts["rank_series"] == 2 and counts["trends"] == 0 and counts["rising_themes"] == 0
 

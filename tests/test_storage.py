@@ -43,11 +43,54 @@ def test_compaction(spark, tmp_path):
     paths = [K.append_shard(df(rows), prefix, "content_sha256") for rows in ([("a", T0, "old")], [("a", T0 + timedelta(1), "new"), ("b", T0, "x")])]
     assert paths[0] != paths[1]
     report = K.compact(spark, prefix, "content_sha256", "generated_at").head()
-    assert (report["rows_before"], report["rows_after"]) == (3, 2)
-    assert {(r["content_sha256"], r["summary"]) for r in spark.read.parquet(prefix + "/base").collect()} == {("a", "new"), ("b", "x")}
-    assert not K.exists(spark, prefix + "/shards")
+    assert (report["version"], report["rows_before"], report["rows_after"]) == (1, 3, 2)
+    read = lambda: {(r["content_sha256"], r["summary"]) for r in spark.read.parquet(*K.live_paths(spark, prefix)).collect()}
+    assert read() == {("a", "new"), ("b", "x")}
     with pytest.raises(RuntimeError):
-        K.compact(spark, prefix, expected_version="other")
+        K.compact(spark, prefix, expected_version=7)
+    # A shard that comes later stays beside the base; one that a stopped compaction left behind isn't read twice.
+    K.append_shard(df([("c", T0, "late")]), prefix, "content_sha256")
+    assert read() == {("a", "new"), ("b", "x"), ("c", "late")}
+    real, K.delete = K.delete, lambda *a: None
+    try:
+        K.compact(spark, prefix)
+    finally:
+        K.delete = real
+    assert sorted(read()) == [("a", "new"), ("b", "x"), ("c", "late")] and len(K.live_paths(spark, prefix)) == 1
+    assert K.compact(spark, prefix, "content_sha256", "generated_at").head()["version"] == 3
+
+
+def test_only_one_of_two_compactions_wins(spark, tmp_path, monkeypatch):
+    prefix = str(tmp_path / "signals")
+    df = spark.createDataFrame([("a", T0)], "content_sha256 string, generated_at timestamp")
+    K.append_shard(df, prefix, "content_sha256")
+    write = K.write_table
+
+    def overtaken(*a, **k):
+        monkeypatch.setattr(K, "write_table", write)
+        K.compact(spark, prefix)
+        write(*a, **k)
+
+    monkeypatch.setattr(K, "write_table", overtaken)
+    with pytest.raises((RuntimeError, Exception)):
+        K.compact(spark, prefix)
+    assert spark.read.parquet(*K.live_paths(spark, prefix)).count() == 1
+
+
+def test_pauses():
+    assert K.pause_for(OSError("disk")) == 5.0
+    assert K.pause_for(OSError("HTTP 429 too many requests"), 1.0) == 60.0
+    assert K.pause_for(OSError("429: commits are limited")) == 3600.0
+
+
+def test_publication_of_captures(spark, tmp_path):
+    runs = K.typed([{"scrape_id": "r0", "started_at": T0, "completed_at": T0, "success": True, "most_read_count": 1, "front_page_count": 0, "selector_version": "v", "error": "", "workflow_run_url": "", "article_html": "no"}], "scrape_runs", spark)
+    with pytest.raises(ValueError, match="no observations"):
+        K.publish_captures(obs(spark, []), runs, str(tmp_path))
+    assert not K.exists(spark, str(tmp_path / "scrape_runs"))
+    rows = obs(spark, [(0, 1, "a"), (0, 2, "b")])
+    assert K.publish_captures(rows, runs, str(tmp_path)) == {"observations": 2, "scrape_runs": 1}
+    assert K.publish_captures(rows, runs, str(tmp_path)) == {"observations": 2, "scrape_runs": 1}
 
 
 def test_shards_are_tried_again(spark, tmp_path, monkeypatch):
