@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -108,20 +109,29 @@ def embed(df: DataFrame, text: str, model: Callable[[], Callable[[list[str]], li
     return df.mapInPandas(run, schema)
 
 
-def label(df: DataFrame, key: str, text: str, client: Callable[[], Callable[[list[tuple[str, str]]], str]], batch: int = 8) -> DataFrame:
-    """``key, response, error``: answers of an injected labelling client to batches of up to ``batch`` texts. A failing batch gives rows with an error, not a failed job."""
+def label(df: DataFrame, key: str, text: str, client: Callable[[], Callable[[list[tuple[str, str]]], str]], batch: int = 8, concurrency: int = 4, attempts: int = 2) -> DataFrame:
+    """``key, response, error``: answers of an injected labelling client to batches of up to ``batch`` texts, up to ``concurrency`` at once in a task.
+
+    A failing batch is tried again up to ``attempts`` times in all, then gives rows with an error, not a failed job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = None
-        for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.iloc[at : at + batch]
-                ask = ask or client()
+
+        def answer(part: pd.DataFrame) -> pd.DataFrame:
+            for left in reversed(range(attempts)):
                 try:
-                    answer, error = ask(list(zip(part[key], part[text], strict=True))), None
+                    return pd.DataFrame({key: part[key], "response": ask(list(zip(part[key], part[text], strict=True))), "error": None})
                 except Exception as e:  # noqa: BLE001
-                    answer, error = None, str(e)[:2000]
-                yield pd.DataFrame({key: part[key], "response": answer, "error": error})
+                    if not left:
+                        return pd.DataFrame({key: part[key], "response": None, "error": str(e)[:2000]})
+            return part.iloc[:0]
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                if len(b):
+                    ask = ask or client()
+                    yield from pool.map(answer, [b.iloc[at : at + batch] for at in range(0, len(b), batch)])
 
     return df.select(key, text).mapInPandas(run, f"{key} string, response string, error string")
 

@@ -274,6 +274,14 @@ def related_topk(spark, folder):
     return search.related(e, q["story_id"], q["embedding"]).select("story_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id) <= 5""")
+def vector_search_queries(spark, folder):
+    """The stated query set, every vector whose id is divisible by 50, against all vectors."""
+    e = table(spark, folder, "embeddings")
+    return search.nearest_to_queries(e, e.where("vec_id % 50 = 0"), "vec_id").withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_INDEX}, sc AS (SELECT story_id, (h + 1.5 * th) / (2.5 * 3) AS score FROM (SELECT story_id,
   list_sum([contains(lower(concat_ws(' ', title, summary, topic, array_to_string(themes, ' '))), k)::INT for k in ['harbour', 'budget', 'flooding']]) AS h,
   list_sum([contains(lower(title), k)::INT for k in ['harbour', 'budget', 'flooding']]) AS th FROM ix WHERE list_contains(surfaces, 'front_page')))

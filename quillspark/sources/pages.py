@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,8 +15,22 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Where lists and texts stand on the pages, as (tag, attribute, value) with * for any tag and ~ for a part of the value.
-MOST_READ = [(t, "data-component", v) for v in ("mostRead", "MostRead") for t in ("div", "section")] + [(t, "data-testid", "most-read") for t in ("div", "section")] + [(t, "data-entityid", "~most-popular") for t in ("div", "section")]
-TOP_STORIES = [("*", "data-entityid", "container-top-stories#1"), ("section", "data-component", "top-stories")]
+MOST_READ = [
+    ("div", "data-component", "mostRead"),
+    ("section", "data-component", "mostRead"),
+    ("div", "data-component", "MostRead"),
+    ("section", "data-component", "MostRead"),
+    ("div", "data-testid", "most-read"),
+    ("section", "data-testid", "most-read"),
+    ("div", "data-entityid", "~most-popular"),
+    ("section", "data-entityid", "~most-popular"),
+]
+# The box and the list in it.
+TOP_STORIES = [
+    (("div", "class", "~ssrcss-1euvvif-Wrap"), ("ul", "class", "~-Grid")),
+    (("*", "data-entityid", "container-top-stories#1"), ("ul", None, None)),
+    (("section", "data-component", "top-stories"), ("ul", None, None)),
+]
 TEXT_BLOCK = ("*", "data-component", "text-block")
 
 
@@ -103,7 +120,7 @@ def most_read(root: Node, limit: int = 10) -> list[tuple[int, str, str]]:
 
 def top_stories(root: Node, limit: int = 10) -> list[tuple[int, str, str]]:
     """Position, title and link of promoted stories, each link once, numbered without gaps."""
-    box = next((ul for s in TOP_STORIES for n in root.walk() if matches(n, s) for ul in n.all("ul")), None)
+    box = next((ul for outer, (tag, *inner) in TOP_STORIES for n in root.walk() if matches(n, outer) for ul in n.all(tag) if inner[0] is None or matches(ul, (tag, *inner))), None)
     links = box.all("a") if box else [a for a in root.all("a") if "-PromoLink" in (a.attrs.get("class") or "")]
     out: list[tuple[int, str, str]] = []
     seen: set[str] = set()
@@ -141,8 +158,27 @@ def parse_homepages(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(F.col(key).cast("string").alias(key), html).mapInPandas(run, "k string, surface string, position int, title string, url string, error string").withColumnRenamed("k", key)
 
 
-def read_article(page: str) -> tuple[str | None, str, list[str], str]:
-    """Canonical link, title, authors and text of an article page."""
+def to_html(node: Node) -> str:
+    """A node written out again."""
+    out: list[str] = []
+    stack: list = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, tuple):
+            out.append(f"</{n[0]}>")
+        elif isinstance(n, str):
+            out.append(escape(n, quote=False))
+        else:
+            if n.tag:
+                out.append("<" + n.tag + "".join(f' {k}="{escape(v or "")}"' for k, v in n.attrs.items()) + ">")
+                if n.tag not in VOID:
+                    stack.append((n.tag,))
+            stack += reversed(n.children)
+    return "".join(out)
+
+
+def read_article(page: str) -> tuple[str | None, str, list[str], str, str]:
+    """Canonical link, title, authors, the body's HTML and text of an article page."""
     root = tree(page)
     link = root.find(("link", "rel", "canonical"))
     canonical = ((link.attrs.get("href") or "").strip() if link else "") or None
@@ -157,15 +193,15 @@ def read_article(page: str) -> tuple[str | None, str, list[str], str]:
         names.add((by.attrs.get("content") or "").strip())
     blocks = [n for n in root.walk() if matches(n, TEXT_BLOCK)]
     if blocks:
-        body = " ".join(n.text() for n in blocks)
+        body, markup = " ".join(n.text() for n in blocks), "".join(to_html(n) for n in blocks)
     else:
         main = next(iter(root.all("main")), None) or next(iter(root.all("body")), None) or root
-        body = main.text()
-    return canonical, title, sorted(n for n in names if n), body
+        body, markup = main.text(), to_html(main)
+    return canonical, title, sorted(n for n in names if n), markup, body
 
 
 def parse_articles(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """``key, canonical_url, title, authors, article_text, error`` of each page."""
+    """``key, canonical_url, title, authors, body_html, article_text, error`` of each page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -174,29 +210,32 @@ def parse_articles(pages: DataFrame, key: str, html: str) -> DataFrame:
                 try:
                     out.append((k, *read_article(page), None))
                 except Exception as e:  # noqa: BLE001
-                    out.append((k, None, "", [], "", str(e)[:500]))
-            yield pd.DataFrame(out, columns=["k", "canonical_url", "title", "authors", "article_text", "error"])
+                    out.append((k, None, "", [], "", "", str(e)[:500]))
+            yield pd.DataFrame(out, columns=["k", "canonical_url", "title", "authors", "body_html", "article_text", "error"])
 
-    return pages.select(F.col(key).cast("string").alias(key), html).mapInPandas(run, "k string, canonical_url string, title string, authors array<string>, article_text string, error string").withColumnRenamed("k", key)
+    return pages.select(F.col(key).cast("string").alias(key), html).mapInPandas(run, "k string, canonical_url string, title string, authors array<string>, body_html string, article_text string, error string").withColumnRenamed("k", key)
 
 
-def fetch_pages(targets: DataFrame, url: str, get: Callable[[str], tuple[int, str]], per_second: float = 5.0, pause: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``url, status, html, error`` of different targets. One task, as the rate holds for all of them; a failure becomes a row."""
+def fetch_pages(targets: DataFrame, url: str, get: Callable[[str], tuple[int, str]], per_second: float = 5.0, pause: Callable[[float], None] = time.sleep, concurrency: int = 8) -> DataFrame:
+    """``url, status, html, error`` of different targets, up to ``concurrency`` at once. One task, as the rate holds for all of them; a failure becomes a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        next_at = 0.0
-        for b in batches:
-            out = []
-            for u in b[url]:
-                now = time.monotonic()
-                if now < next_at:
-                    pause(next_at - now)
-                next_at = max(now, next_at) + 1.0 / per_second
-                try:
-                    status, page = get(u)
-                    out.append((u, status, page, None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((u, None, "", str(e)[:500]))
-            yield pd.DataFrame(out, columns=["url", "status", "html", "error"])
+        lock, next_at = threading.Lock(), [0.0]
 
-    return targets.select(F.col(url).alias(url)).where(F.col(url).isNotNull()).distinct().coalesce(1).mapInPandas(run, "url string, status int, html string, error string")
+        def fetch(u: str) -> tuple:
+            with lock:  # starts are spaced, answers may overlap
+                now = time.monotonic()
+                if now < next_at[0]:
+                    pause(next_at[0] - now)
+                next_at[0] = max(now, next_at[0]) + 1.0 / per_second
+            try:
+                status, page = get(u)
+                return u, status, page, None
+            except Exception as e:  # noqa: BLE001
+                return u, None, "", str(e)[:500]
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                yield pd.DataFrame(list(pool.map(fetch, b["url"])), columns=["url", "status", "html", "error"])
+
+    return targets.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct().coalesce(1).mapInPandas(run, "url string, status int, html string, error string")

@@ -154,3 +154,65 @@ def test_sql_is_read_only(spark):
             sqltools.run_sql(spark, t, bad)
     assert sqltools.run_sql(spark, t, "select 'drop table' as x").head()[0] == "drop table"
     assert sqltools.profile(t["t"]).head()["rows"] == 500
+
+
+def test_labelling_is_tried_again_in_several_threads(spark):
+    df = spark.createDataFrame([(f"k{i}", "t") for i in range(20)], "k string, t string").coalesce(1)
+
+    def client():
+        calls = {}
+
+        def ask(rows):
+            n = calls[rows[0][0]] = calls.get(rows[0][0], 0) + 1
+            if n == 1:
+                raise ValueError("busy")
+            return ",".join(k for k, _ in rows)
+
+        return ask
+
+    got = enrichment.label(df, "k", "t", client).collect()
+    assert len(got) == 20 and all(r["error"] is None and r["k"] in r["response"].split(",") for r in got)
+
+
+def test_search_falls_back_on_keywords(spark):
+    rows = [("a", "harbour vote", "s", "t", ["x"], [1.0, 0.0]), ("b", "budget", "s", "t", ["x"], [0.0, 1.0])]
+    index = spark.createDataFrame(rows, "story_id string, title string, summary string, topic string, themes array<string>, embedding array<float>")
+    seen = []
+
+    def embed(q):
+        seen.append(q)
+        return [0.0, 2.0]
+
+    ids = lambda df: [r["story_id"] for r in df.collect()]
+    assert ids(search.search(index, "harbour", embed, prefix="query: ")) == ["b"] and seen == ["query: harbour"]
+    assert ids(search.search(index, "harbour")) == ["a"]
+    assert ids(search.search(index, "harbour", lambda q: 1 / 0)) == ["a"]
+
+
+def test_stated_queries_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.standard_normal((60, 4)), 1)
+    x[5], x[6] = x[7], 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [1.0])], "id long, embedding array<float>")
+    u = x.astype(np.float32).astype(float) / np.maximum(np.linalg.norm(x.astype(np.float32).astype(float), axis=1, keepdims=True), 1e-9)
+    want = {(i, j) for i in range(0, 60, 5) for j in sorted((j for j in range(60) if j not in (i, 6)), key=lambda j: (-round(float(u[i] @ u[j]), 12), j))[:3]}
+    for block in (4, 1000):
+        got = search.nearest_to_queries(df.withColumn("score", F.lit("x")).repartition(5), df.where("id % 5 = 0 and id < 60"), "id", 3, block=block)
+        assert {(r["query_id"], r["id"]) for r in got.collect()} == want
+    assert search.nearest_to_queries(df, df.where("false"), "id").count() == 0
+
+
+def test_admission_of_a_stream(spark, tmp_path):
+    from quillspark.streaming.rate_limit import admit_batch, admit_stream
+
+    rows = [(c, T0 + timedelta(seconds=s)) for c in "ab" for s in (0, 10, 20, 30, 40, 50, 60, 700, 705)]
+    df = spark.createDataFrame(rows, "client string, at timestamp")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for marked in (False, True):
+        s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        out = admit_stream(s.withWatermark("at", "1 minute") if marked else s, "client", "at")
+        name = f"admitted_{marked}".lower()
+        out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        got = sorted(map(tuple, spark.table(name).select("client", "at", "admitted").collect()))
+        want = sorted(map(tuple, admit_batch(df, "client", "at", "at").collect()))
+        assert got == want

@@ -155,9 +155,14 @@ def test_home_pages(spark):
 
 def test_article_pages():
     page = '<link rel="canonical" href=" /x "><meta property="og:title" content="T"><meta name="byl" content="Ann"><h1>H</h1><a rel="author">Bob</a><div data-component="text-block">one <b>two</b></div><div data-component="text-block">three</div>'
-    assert pages.read_article(page) == ("/x", "T", ["Ann", "Bob"], "one two three")
-    assert pages.read_article("<h1>H</h1><main><p>x</p><script>no</script></main>") == (None, "H", [], "x")
-    assert pages.read_article("")[3] == ""
+    canonical, title, authors, markup, body = pages.read_article(page)
+    assert (canonical, title, authors, body) == ("/x", "T", ["Ann", "Bob"], "one two three")
+    assert 'data-component="text-block"' in markup and "one" in markup
+    assert pages.read_article("<h1>H</h1><main><p>x &lt; y</p></main>") == (None, "H", [], "<main><p>x &lt; y</p></main>", "x < y")
+    assert pages.read_article("<main><p>x</p><script>no</script></main>")[4] == "x"
+    assert pages.read_article("")[4] == ""
+    grid = '<div class="ssrcss-1euvvif-Wrap"><ul><li><a href="/no">No</a></li></ul><ul class="a-Grid"><li><a href="/g">Grid</a></li></ul></div>'
+    assert pages.top_stories(pages.tree(grid)) == [(1, "Grid", "/g")]
 
 
 def test_fetching_keeps_failures(spark):
