@@ -41,9 +41,15 @@ def _greedy(window_us: int, strong: float, supported: float):
                 best, score = story.get(sid), -1.0
                 if best is None:
                     keys = [f"e{n}" for n in names] + [f"l{w}" for w in label]
+                    for k in keys:  # what is too old leaves the lists until its story is seen again
+                        if any(anchors[c]["last"] < us - window_us for c in by_key.get(k, ())):
+                            for c in by_key[k]:
+                                if anchors[c]["last"] < us - window_us:
+                                    anchors[c]["out"].append(k)
+                            by_key[k] = [c for c in by_key[k] if anchors[c]["last"] >= us - window_us]
                     for c in sorted({c for k in keys for c in by_key.get(k, ())}):
                         a = anchors[c]
-                        if a["last"] < us - window_us or len(a["x"]) != len(x):
+                        if len(a["x"]) != len(x):
                             continue
                         s = float(x @ a["x"])
                         if s <= score:
@@ -54,12 +60,15 @@ def _greedy(window_us: int, strong: float, supported: float):
                             best, score = c, s
                     if best is None:
                         best = len(anchors)
-                        anchors.append({"x": x, "names": names, "label": label, "last": us, "sha": sha})
+                        anchors.append({"x": x, "names": names, "label": label, "last": us, "sha": sha, "out": []})
                         for k in keys:
                             by_key[k].append(best)
                     story[sid] = best
                 a = anchors[best]
                 a["last"] = us
+                for k in a["out"]:
+                    by_key[k].append(best)
+                a["out"].clear()
                 anchor_of.append(a["sha"])
                 sims.append(float(x @ a["x"]) if len(a["x"]) == len(x) else None)
             yield pd.DataFrame({"content_sha256": b["content_sha256"], "anchor": anchor_of, "similarity_to_anchor": sims})
