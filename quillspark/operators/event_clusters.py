@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import GENERIC_ENTITIES, event_entities, label_tokens
 from quillspark.operators.latest import latest_by, newest_signals
+from quillspark.session import ship_package
 
 
 def candidates(articles: DataFrame, signals: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -84,6 +85,7 @@ def cluster_events(articles: DataFrame, signals: DataFrame, embeddings: DataFram
     order within an event type, so each is one stream through one task, in order of (fetched_at, content); a task keeps the
     anchors and story numbers of one event type, not its rows. Ties go to the earlier cluster.
     """
+    ship_package(articles.sparkSession)
     rows = candidates(articles, signals, embeddings)
     first = Window.partitionBy("story_id").orderBy("fetched_at", "content_sha256")
     rows = rows.withColumn("founder_type", F.first(F.coalesce("event_type", F.lit("None"))).over(first))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import lexical_score, searchable
+from quillspark.session import ship_package
 
 
 def facet_filter(surface: str | None = None, topic: str | None = None, story_form: str | None = None) -> Column:
@@ -26,6 +27,7 @@ def facet_filter(surface: str | None = None, topic: str | None = None, story_for
 
 def cosine_scores(df: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:
     """``df`` with ``score``, its cosine with one query vector, by Arrow batches. A vector of another size or of zeros has no score."""
+    ship_package(df.sparkSession)
     q = np.asarray(query, np.float64)
     q = q / (np.linalg.norm(q) or 1.0)
 
@@ -86,6 +88,7 @@ def nearest_to_queries(index: DataFrame, queries: DataFrame, id: str, k: int = 5
     it sends on only its own ``k`` of each query. Vectors of zeros, null, or of another size than a query's have no score.
     """
     spark = index.sparkSession
+    ship_package(spark)
     slim = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x))")
     q = slim(queries)
     parts = max(1, -(-q.count() // block))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import ship_package
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Where lists and texts stand on the pages, as (tag, attribute, value) with * for any tag and ~ for a part of the value.
 MOST_READ = [
@@ -139,6 +141,8 @@ def top_stories(root: Node, limit: int = 10) -> list[tuple[int, str, str]]:
 def parse_homepages(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key, surface, position, title, url, error``: the listed stories of each page. A page that lacks a list fails as a whole: one row with its error."""
 
+    ship_package(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -203,6 +207,8 @@ def read_article(page: str) -> tuple[str | None, str, list[str], str, str]:
 def parse_articles(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key, canonical_url, title, authors, body_html, article_text, error`` of each page."""
 
+    ship_package(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
