@@ -1,8 +1,10 @@
 """The story's own body on pages that mix it with other parts.
 
 Wrapper induction, per host. Pages are read into blocks, each with its slot: the path of tags to it, without values that
-differ from build to build. All pages of a host and layout are aligned by slot; nodes whose text stays the same in most of
-their stories are template. Slots that vary can hold the story or lists of other stories, so a second alignment tells
+differ from build to build. Pages of a host and layout have their parts in the same slots, so all of them are aligned by
+slot; nodes whose text stays the same in most of their stories are template. A page of a layout that too few stories have is
+aligned with a page of the host's commonest layout by simple tree matching, and what is matched with a template node of
+the same text is template too. Slots that vary can hold the story or lists of other stories, so a second alignment tells
 them apart: the saved text of a snapshot is another rendering of the same story, with other furniture. What a varying slot
 holds is content as far as it stands in both. From a bounded sample of a host's aligned pairs two models are fitted, one for
 blocks of pages and one for lines of text where no page was kept; both are logistic regressions over hashed features.
@@ -20,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import written
+from quillspark.session import ship_package, written
 
 BLOCK_TAGS = frozenset(
     "html body head title address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul br noscript button option select".split()
@@ -36,7 +39,6 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 SILENT = re.compile(r"<!--.*?-->|<(script|style|template|svg)\b.*?</\1\s*>|<!\w[^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 ATTR = re.compile(r"\b(id|data-[\w-]+|role|itemprop|rel)\s*=\s*[\"']?([^\"'>\s]*)")
-SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _CAPITAL = re.compile(r"\b[A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*")
 _STOPS = frozenset(".!?”’…)\"")
@@ -44,13 +46,21 @@ BITS = 18
 
 
 def tidy(text: str) -> str:
-    return SPACE.sub(" ", html.unescape(text)).strip()
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
 def block_key(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+@lru_cache(maxsize=65_536)
+def _step(tag: str, attrs: str) -> str:
+    """A tag's part of a slot: its name and what tells it apart, without values that differ from build to build."""
+    if not attrs:
+        return tag
+    return tag + ("." if "class" in attrs else "") + "".join(f"[{a}={_DIGITS.sub('9', v)}]" for a, v in ATTR.findall(attrs) if a != "rel")
+
+
 def page_blocks(page: str) -> list[tuple[str, str, str]]:
     """``(text, slot, wrap)`` of each block that has text: its path, and the inline tags that hold all of it.
 
@@ -68,7 +78,7 @@ def page_blocks(page: str) -> list[tuple[str, str, str]]:
         if parts:
             text = tidy("".join(parts))
             if text:
-                out.append((text, "/".join(s for _, s in stack), "+".join(sorted(common or ()))))
+                out.append((text, stack[-1][1] if stack else "", "+".join(sorted(common)) if common else ""))
             parts.clear()
         common = None
 
@@ -92,9 +102,8 @@ def page_blocks(page: str) -> list[tuple[str, str, str]]:
             elif tag not in VOID_TAGS and not m[3].endswith("/"):
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
                     stack.pop()
-                attrs = m[3]
-                name = tag + (("." if "class" in attrs else "") + "".join(f"[{a}={re.sub(r'[0-9]+', '9', v)}]" if a != "rel" else "" for a, v in ATTR.findall(attrs)) if attrs else "")
-                stack.append((tag, name))
+                name = _step(tag, m[3])
+                stack.append((tag, f"{stack[-1][1]}/{name}" if stack else name))
         elif tag not in VOID_TAGS:
             if not m[1]:
                 inline.append(tag)
@@ -114,11 +123,11 @@ def text_lines(text: str) -> list[str]:
 
 def tidy_line(line: str) -> str:
     """A line of saved text; tags and entities in it are text of the story."""
-    return SPACE.sub(" ", line).strip()
+    return " ".join(line.split())
 
 
 def _tree(blocks: list[tuple[str, str, str]]) -> tuple:
-    """The tree of slots: (name, text, children)."""
+    """The tree of slots: (name, text, children); leaves have a text and their slot."""
     root: tuple = ("", "", [])
     for text, slot, _ in blocks:
         node = root
@@ -126,7 +135,7 @@ def _tree(blocks: list[tuple[str, str, str]]) -> tuple:
             if not node[2] or node[2][-1][0] != name or node[2][-1][1]:
                 node[2].append((name, "", []))
             node = node[2][-1]
-        node[2].append(("#", text, []))
+        node[2].append(("#", text, [], slot))
     return root
 
 
@@ -154,21 +163,19 @@ def simple_tree_matching(a: tuple, b: tuple, pairs: list[tuple[tuple, tuple]] |
     return int(best[n, m]) + 1
 
 
+@lru_cache(maxsize=65_536)
 def template_of(text: str) -> str:
     return _DIGITS.sub("9", text)
 
 
-def constant_nodes(pages: list[list[tuple[str, str, str]]], limit: int = 12) -> set[str]:
-    """Texts (numbers alike) that stay the same where up to ``limit`` pages of one layout are aligned with the first."""
-    trees = [_tree(p) for p in pages[:limit]]
-    seen: Counter = Counter()
-    for other in trees[1:]:
-        pairs: list = []
-        simple_tree_matching(trees[0], other, pairs)
-        seen.update({template_of(x[1]) for x, y in pairs if x[0] == "#" and template_of(x[1]) == template_of(y[1])})
-    return {t for t, n in seen.items() if n * 2 > len(trees) - 1}
+def matched_template(blocks: list, reference: list, constant: Iterable[int]) -> set[int]:
+    """Nodes of a page that a page of another layout, aligned with it, has as template nodes of the same text (numbers alike)."""
+    known, pairs = set(constant), []
+    simple_tree_matching(_tree(reference), _tree(blocks), pairs)
+    return {node_key(y[3], y[1]) for x, y in pairs if x[0] == "#" and template_of(x[1]) == template_of(y[1]) and node_key(x[3], x[1]) in known}
 
 
+@lru_cache(maxsize=65_536)
 def is_headline(slot: str) -> bool:
     """A first-level heading or the page's title, which are no body whatever stands in the text."""
     return any(t.split(".", 1)[0].split("[", 1)[0] in ("h1", "title") for t in slot.split("/"))
@@ -178,37 +185,50 @@ def _h(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) & ((1 << BITS) - 1)
 
 
+@lru_cache(maxsize=65_536)
 def _shape(template: str) -> str:
     """Words with a capital made alike: names differ from page to page, what stands around them doesn't."""
     return _CAPITAL.sub("C", template[:120])[:60]
 
 
+@lru_cache(maxsize=65_536)
+def _of_slot(slot: str, wrap: str) -> tuple[int, ...]:
+    return _h("bias"), _h(f"s|{slot}|{wrap}"), _h(f"w|{wrap}"), _h(f"l|{slot.rsplit('/', 1)[-1]}|{wrap}")
+
+
+@lru_cache(maxsize=65_536)
+def _of_block(text: str) -> tuple[int, ...]:
+    t, words = template_of(text), text.split(" ", 2)
+    return _h(f"t|{t}"), _h(f"h|{_shape(t)}"), _h(f"1|{words[0].lower()}"), _h(f"2|{' '.join(words[:2]).lower()}"), _h(f"e|{text[-1]}|{min(len(text) // 30, 5)}")
+
+
 def block_features(blocks: list[tuple[str, str, str]], title: str) -> list[list[int]]:
-    out = []
-    for text, slot, wrap in blocks:
-        t = template_of(text)
-        words = text.split(" ", 2)
-        f = ["bias", f"s|{slot}|{wrap}", f"w|{wrap}", f"l|{slot.rsplit('/', 1)[-1]}|{wrap}", f"t|{t}", f"h|{_shape(t)}", f"1|{words[0].lower()}", f"2|{' '.join(words[:2]).lower()}", f"e|{text[-1]}|{min(len(text) // 30, 5)}", f"st|{slot}|{wrap}|{t[:40]}"]
-        if text == title:
-            f.append("title")
-        out.append([_h(x) for x in f])
-    return out
+    is_title = (_h("title"),)
+    return [[*_of_slot(slot, wrap), *_of_block(text), _h(f"st|{slot}|{wrap}|{template_of(text)[:40]}"), *(is_title if text == title else ())] for text, slot, wrap in blocks]
+
+
+@lru_cache(maxsize=65_536)
+def _of_line(line: str) -> tuple[int, ...]:
+    h = xxhash.xxh32_intdigest
+    first = [w.lower() for w in line.split(" ", 3)[:3]]
+    t = template_of(line)
+    return h(f"t|{t}"), h(f"h|{_shape(t)}"), h(f"1|{first[0]}"), h(f"2|{' '.join(first[:2])}"), h(f"3|{' '.join(first)}"), h(f"9|{line.rsplit(' ', 1)[-1].lower()}"), h(f"e|{line[-1]}|{min(line.count(' ') // 4, 6)}|{' | ' in line or ' > ' in line}")
+
+
+_SAME = {(end, same): xxhash.xxh32_intdigest(f"n|{end}|{same}") for end in (True, False) for same in ("title", "part", "no")}
 
 
 def line_features(lines: list[str], title: str) -> np.ndarray:
     """A row of feature numbers per line: its own, its place's, and those of two lines on either side."""
-    h = xxhash.xxh32_intdigest
-    own, small = np.empty((len(lines), 8), np.uint32), title.casefold()
+    small, last, own = title.casefold(), -1, []
     for i, line in enumerate(lines):
-        words = line.split(" ", 3)
-        first = [w.lower() for w in words[:3]]
-        t = template_of(line)
-        end = line[-1]
         low = line.casefold()
+        if low == small:
+            last = i
         same = "title" if low == small else "part" if len(low) > 12 and (low in small or small in low) and small else "no"
-        own[i] = (h(f"t|{t}"), h(f"h|{_shape(t)}"), h(f"1|{first[0]}"), h(f"2|{' '.join(first[:2])}"), h(f"3|{' '.join(first)}"), h(f"9|{line.rsplit(' ', 1)[-1].lower()}"), h(f"e|{end}|{min(line.count(' ') // 4, 6)}|{' | ' in line or ' > ' in line}"), h(f"n|{end in _STOPS}|{same}"))
+        own.append((*_of_line(line), _SAME[line[-1] in _STOPS, same]))
+    own = np.array(own, np.uint32)
     n = len(lines)
-    last = max((i for i, x in enumerate(lines) if x.casefold() == small), default=-1)
     at = np.arange(n)
     place = np.stack([np.full(n, 11), 1000 + np.minimum(at, 4), 2000 + np.minimum(n - 1 - at, 6), 3000 + (at < last) + 2 * (last >= 0)], axis=1).astype(np.uint32)
     padded = np.full((n + 4, 8), 77, np.uint32)
@@ -271,9 +291,13 @@ def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray
 def scores_of(rows: list[list[int]] | np.ndarray, w: np.ndarray) -> np.ndarray:
     if isinstance(rows, np.ndarray):
         return w[rows].sum(axis=1)
-    return np.array([w[r].sum() for r in rows]) if rows else np.zeros(0)
+    if not rows:
+        return np.zeros(0)
+    size = np.array([len(r) for r in rows])
+    return np.add.reduceat(w[np.concatenate(rows)], np.r_[0, np.cumsum(size)[:-1]])
 
 
+@lru_cache(maxsize=65_536)
 def node_key(slot: str, text: str) -> int:
     """A text (numbers alike) in its slot, as a signed 64-bit number."""
     return xxhash.xxh64_intdigest(f"{slot}|{template_of(text)}") - 2**63
@@ -355,12 +379,31 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def constant_of_layouts(pages: DataFrame) -> DataFrame:
-    """``host, layout, constant``: the nodes in more than half of the stories, of at least three, of a host's layout, from all its pages (``host, layout, story, nodes``)."""
+    """``host, layout, stories, constant``: the nodes in more than half of the stories, of at least three, of a host's layout, from all its pages (``host, layout, story, nodes``)."""
     stories = pages.groupBy("host", "layout", "story").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
     stories = written(stories)
     totals = stories.groupBy("host", "layout").agg(F.count("*").alias("stories")).where("stories > 2")
     counts = stories.select("host", "layout", F.explode("nodes").alias("node")).groupBy("host", "layout", "node").agg(F.count("*").alias("n")).where("n > 1")
-    return counts.join(totals, ["host", "layout"]).where("n * 2 > stories").groupBy("host", "layout").agg(F.collect_list("node").alias("constant"))
+    return counts.join(totals, ["host", "layout"]).where("n * 2 > stories").groupBy("host", "layout").agg(F.max("stories").alias("stories"), F.collect_list("node").alias("constant"))
+
+
+def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = [matched_template(json.loads(x), json.loads(r), c) for x, r, c in zip(b["blocks"], b["reference"], b["known"], strict=True)]
+        yield b.drop(columns=["reference", "known"]).assign(constant=[list(f) for f in found])
+
+
+def with_templates(both: DataFrame, constant: DataFrame) -> DataFrame:
+    """``both`` (``host, layout, blocks`` and more) with ``constant``: the template nodes of each page, null where its host has none."""
+    top = constant.groupBy("host").agg(F.max(F.struct("stories", "layout", F.col("constant").alias("known"))).alias("m")).select("host", "m.layout", "m.known")
+    reference = written(both.where("blocks is not null").select("host", "layout", "blocks", "snapshot_id").join(top, ["host", "layout"]).groupBy("host").agg(F.min_by("blocks", "snapshot_id").alias("reference"), F.first("known").alias("known")))
+    told = both.join(constant.drop("stories"), ["host", "layout"], "left")
+    rare = told.where("constant is null and blocks is not null").drop("constant")
+    aligned = rare.join(reference, "host")
+    schema = ", ".join(f"{n} {t}" for n, t in rare.dtypes) + ", constant array<long>"
+    alone = rare.join(reference.select("host"), "host", "left_anti").withColumn("constant", F.lit(None).cast("array<long>"))
+    rest = told.where("constant is not null or blocks is null")
+    return rest.unionByName(aligned.mapInPandas(_matched, schema)).unionByName(alone)
 
 
 def _bodies(b: pd.DataFrame, w: Wrapper) -> pd.DataFrame:
@@ -423,6 +466,7 @@ def story_blocks(snapshots: DataFrame, raw: DataFrame, excluded: DataFrame | Non
     fitted to about ``pairs`` of all (the bound of what the driver sees).
     """
     spark = snapshots.sparkSession
+    ship_package(spark)
     host = F.coalesce(F.regexp_extract("canonical_url", r"^\w+://([^/]+)", 1), F.lit(""))
     s = snapshots.where("fetch_ok and snapshot_id is not null").select("snapshot_id", host.alias("host"), F.xxhash64(F.coalesce("canonical_url", "snapshot_id")).alias("story"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("article_text", F.lit("")).alias("text"))
     p = raw.where("snapshot_id is not null and article_html <> ''").select("snapshot_id", F.col("article_html").alias("page"))
@@ -432,7 +476,7 @@ def story_blocks(snapshots: DataFrame, raw: DataFrame, excluded: DataFrame | Non
     both = written(s.join(read, "snapshot_id", "left"))
     paired = both.where("blocks is not null")
     constant = written(constant_of_layouts(paired.select("host", "layout", "story", "nodes")))
-    both = both.drop("nodes", "story").join(constant, ["host", "layout"], "left")
+    both = written(with_templates(both.drop("nodes", "story"), constant))
     paired = both.where("blocks is not null")
     shared = spark.sparkContext.broadcast(induce(sample_pairs(paired, pairs)))
     own = host_wrappers(paired, pairs, least)

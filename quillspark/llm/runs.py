@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import written
+from quillspark.session import ship_package, written
 
 RUN = "struct<anchor:int,started:bigint,ended:bigint,n:bigint>"
 
@@ -85,6 +85,7 @@ def collapse_runs(observations: DataFrame, tolerance: int = 1, max_gap_minutes:
     Rows with a null story_id, surface, observed_at or position are no observations. Extra columns are ignored. An empty
     table gives no rows. ``slot_hours`` only sets how work is spread; it doesn't change the result.
     """
+    ship_package(observations.sparkSession)
     gap, slot_us = max_gap_minutes * 60_000_000, slot_hours * 3_600_000_000
     o = observations.select("story_id", "surface", F.unix_micros("observed_at").alias("us"), F.col("position").cast("int").alias("value")).where("story_id is not null and surface is not null and us is not null and value is not null")
     o = o.withColumn("slot", F.floor(F.col("us") / F.lit(slot_us))).repartition("story_id", "surface", "slot")

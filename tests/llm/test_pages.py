@@ -75,8 +75,24 @@ def test_simple_tree_matching():
     a = M._tree(M.page_blocks("<body><div><p>Menu</p><p>x</p></div><p>Foot 1</p></body>"))
     b = M._tree(M.page_blocks("<body><div><p>Menu</p></div><p>Foot 2</p></body>"))
     assert M.simple_tree_matching(a, a) > M.simple_tree_matching(a, b)
-    pages = [M.page_blocks(f"<body><div><p>Menu</p></div><p>story {w}</p><p>Foot {i}</p></body>") for i, w in enumerate("abcd")]
-    assert M.constant_nodes(pages) == {"Menu", "Foot 9"}
+    common = M.page_blocks("<body><nav><p>Menu</p><p>Sport 3</p></nav><main><p>one story</p><p>Advertisement</p></main><p>Foot 1</p></body>")
+    rare = M.page_blocks("<body><aside>Also here</aside><nav><p>Menu</p><p>Sport 4</p></nav><section>Box</section><main><p>two story</p><p>more</p><p>Advertisement</p></main><p>Foot 2</p></body>")
+    known = [M.node_key(slot, text) for text, slot, _ in common if text != "one story"]
+    found = M.matched_template(rare, common, known)
+    assert {t for t, slot, _ in rare if M.node_key(slot, t) in found} == {"Menu", "Sport 4", "Advertisement", "Foot 2"}
+    assert not M.matched_template(rare, common, [])
+
+
+def test_rare_layouts_are_aligned_with_the_commonest(spark):
+    page = lambda body, extra="": M.json.dumps(M.page_blocks(f"<body>{extra}<nav><p>Menu</p></nav><main><p>{body}</p><p>Advertisement</p></main></body>"))
+    rows = [(f"s{i}", "h", 1, page(f"text {'abcdefgh'[i]}")) for i in range(5)] + [("r", "h", 2, page("rare", "<div>new</div>")), ("o", "other", 1, page("x")), ("n", "h", None, None)]
+    both = spark.createDataFrame(rows, "snapshot_id string, host string, layout long, blocks string")
+    nodes = F.udf(lambda b: [M.node_key(s, t) for t, s, _ in M.json.loads(b)], "array<long>")
+    constant = M.constant_of_layouts(both.where("blocks is not null").select("host", "layout", F.xxhash64("snapshot_id").alias("story"), nodes("blocks").alias("nodes")))
+    got = {r["snapshot_id"]: r["constant"] for r in M.with_templates(both, constant).collect()}
+    assert len(got) == len(rows) and got["n"] is None and got["o"] is None
+    left = lambda i: [t for t, s, _ in M.json.loads(rows[i][3]) if M.node_key(s, t) not in set(got[rows[i][0]])]
+    assert left(0) == ["text a"] and left(5) == ["new", "rare"]
 
 
 PLACES = [a + b for a in ("Home", "News", "Sport", "Travel", "Weather", "Food", "Law", "Art") for b in ("", " North", " South", " East", " West")]
