@@ -281,3 +281,114 @@ def page_companion(spark, folder):
     sink.write_table(pages, f"{root}/raw_article_snapshots")
     back = source.read_prefix(spark, root, "raw_article_snapshots").select(*schemas.TABLES["raw_article_snapshots"].names)
     return back.agg(F.countDistinct("snapshot_id").alias("snapshots"), F.count("*").alias("rows"))
+
+
+@query("""WITH l AS (SELECT scrape_id, surface, story_id, row_number() OVER (PARTITION BY scrape_id, surface ORDER BY p, story_id) AS position FROM (SELECT scrape_id, surface, story_id, min(position) AS p FROM observations GROUP BY ALL)),
+b AS (SELECT scrape_id FROM l GROUP BY 1 HAVING count(DISTINCT surface) = 2)
+SELECT scrape_id, surface, position::INT AS position, story_id || ' & "co"' AS title, '/news/' || story_id AS url, NULL::VARCHAR AS error FROM l WHERE position <= 10 AND scrape_id IN (SELECT scrape_id FROM b)
+UNION ALL SELECT DISTINCT scrape_id, NULL, NULL, NULL, NULL, CASE WHEN surface = 'most_read' THEN 'no front_page list' ELSE 'no most_read list' END FROM l WHERE scrape_id NOT IN (SELECT scrape_id FROM b)""")
+def rendered_homepages(spark, folder):
+    """The lists of every capture as a home page, read back; a page without one of them fails as a whole."""
+    from quillspark.sources import pages
+
+    o = table(spark, folder, "observations").groupBy("scrape_id", "surface", "story_id").agg(F.min("position").alias("p"))
+    item = F.transform(F.array_sort(F.collect_list(F.struct("p", "story_id"))), lambda x: F.concat(F.lit('<li><a href="/news/'), x["story_id"], F.lit('"><span>'), text.escape_html(F.concat(x["story_id"], F.lit(' & "co"'))), F.lit("</span></a></li>")))
+    lists = o.groupBy("scrape_id", "surface").agg(F.array_join(item, "\n").alias("items"))
+    front = F.concat(F.lit('<div data-entityid="container-top-stories#1"><ul>'), "items", F.lit("</ul></div>"))
+    read = F.concat(F.lit('<section data-component="mostRead"><ol>'), "items", F.lit("</ol></section>"))
+    page = lists.groupBy("scrape_id").agg(F.array_join(F.collect_list(F.when(F.col("surface") == "front_page", front).otherwise(read)), "<p>between</p>").alias("html"))
+    return pages.parse_homepages(page, "scrape_id", "html")
+
+
+@query("""SELECT DISTINCT snapshot_id, nullif(trim(canonical_url), '') AS canonical_url, trim(title) AS title, list_sort(list_distinct(list_filter(list_transform(authors, lambda x: trim(x)), lambda x: x <> ''))) AS authors,
+  sha256(trim(regexp_replace(article_text, '\\s+', ' ', 'g'))) AS text_sha256 FROM article_snapshots WHERE trim(title) <> '' AND article_text <> ''""")
+def rendered_articles(spark, folder):
+    """Every article as a page, read back: canonical link, title, authors and text (H5)."""
+    from quillspark.sources import pages
+
+    a = table(spark, folder, "article_snapshots").where("trim(title) <> '' and article_text <> ''").select("snapshot_id", "canonical_url", "title", "authors", "article_text").distinct()
+    e = text.escape_html
+    by = F.array_join(F.transform("authors", lambda x: F.concat(F.lit('<a rel="author">'), e(x), F.lit("</a>"))), " ")
+    page = F.concat(
+        F.lit('<html><head><link rel="canonical" href="'), e(F.col("canonical_url")), F.lit('"><meta property="og:title" content="'), e(F.col("title")), F.lit('"></head><body><h1>other</h1>'), by,
+        F.lit('<nav>menu</nav><div data-component="text-block"><p>'), e(F.col("article_text")), F.lit("</p><script>no()</script></div><footer>foot</footer></body></html>"),
+    )
+    got = pages.parse_articles(a.select("snapshot_id", page.alias("html")), "snapshot_id", "html").where("error is null")
+    return got.select("snapshot_id", "canonical_url", "title", "authors", F.sha2(text.collapse_space(F.col("article_text")), 256).alias("text_sha256")).distinct()
+
+
+@query("SELECT DISTINCT content_sha256, round(n / sqrt(n * n + 1), 5) AS first FROM (SELECT content_sha256, length(title)::DOUBLE AS n FROM article_snapshots)")
+def embedded_texts(spark, folder):
+    """Vectors of an injected model, of length one (U8, M1)."""
+    from quillspark.operators import enrichment
+
+    a = table(spark, folder, "article_snapshots").select("content_sha256", "title").distinct()
+    got = enrichment.embed(a, "title", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    return got.select("content_sha256", F.round(F.col("embedding")[0].cast("double"), 5).alias("first")).distinct()
+
+
+@query("SELECT DISTINCT content_sha256, sha256(content_sha256) AS response, NULL::VARCHAR AS error FROM article_snapshots WHERE fetch_ok AND content_sha256 <> ''")
+def labelled_batches(spark, folder):
+    """Answers of an injected client to batches of texts, each content asked for once."""
+    from quillspark.operators import enrichment
+
+    a = latest.unique_articles(table(spark, folder, "article_snapshots")).select("content_sha256", "article_text")
+    got = enrichment.label(a, "content_sha256", "article_text", lambda: lambda rows: ",".join(k for k, _ in rows))
+    asked = F.array_contains(F.split("response", ","), F.col("content_sha256"))
+    return got.select("content_sha256", F.when(asked, F.sha2("content_sha256", 256)).alias("response"), "error")
+
+
+@query("SELECT DISTINCT canonical_url AS url, CASE WHEN right(canonical_url, 1) IN ('0', '2', '4', '6', '8') THEN 200 END AS status, CASE WHEN right(canonical_url, 1) IN ('0', '2', '4', '6', '8') THEN 'page of ' || canonical_url ELSE '' END AS html, CASE WHEN right(canonical_url, 1) NOT IN ('0', '2', '4', '6', '8') THEN 'unreachable' END AS error FROM article_snapshots WHERE canonical_url IS NOT NULL")
+def fetched_targets(spark, folder):
+    """Every target fetched once by an injected client; failures are rows."""
+    from quillspark.sources import pages
+
+    def get(u: str) -> tuple[int, str]:
+        if u[-1:] not in "02468":
+            raise OSError("unreachable")
+        return 200, f"page of {u}"
+
+    return pages.fetch_pages(table(spark, folder, "article_snapshots"), "canonical_url", get, per_second=1e9)
+
+
+@query("SELECT DISTINCT scrape_id, surface, position, CAST(observed_at AS DATE) AS day FROM observations")
+def streamed_upsert(spark, folder):
+    """Deliveries read as a stream and upserted into day partitions."""
+    from quillspark.streaming import ingest
+
+    o, root = table(spark, folder, "observations"), _folder(spark)
+    o.repartition(4).write.parquet(f"{root}/in")
+    rows = ingest.read_deliveries(spark, f"{root}/in", "observations", max_files=2)
+    ingest.upsert_stream(rows, f"{root}/out", schemas.KEYS["observations"], "observed_at", f"{root}/mark").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("scrape_id", "surface", "position", F.to_date("observed_at").alias("day"))
+
+
+@query("SELECT DISTINCT scrape_id, completed_at AS stored_at FROM scrape_runs WHERE completed_at > (SELECT max(completed_at) FROM scrape_runs) - INTERVAL 24 HOURS")
+def cached_answers(spark, folder):
+    """Entries of a cache that haven't expired."""
+    from quillspark.operators import enrichment
+
+    r = table(spark, folder, "scrape_runs").select("scrape_id", F.col("completed_at").alias("stored_at")).distinct()
+    return enrichment.fresh_cache(r, r.agg(F.max("stored_at")).scalar())
+
+
+@query("""SELECT 'once' AS way, count(DISTINCT content_sha256) AS contents FROM article_snapshots WHERE content_sha256 NOT IN (SELECT content_sha256 FROM article_embeddings WHERE content_sha256 IS NOT NULL) AND content_sha256 NOT IN (SELECT content_sha256 FROM story_signals WHERE content_sha256 IS NOT NULL)
+UNION ALL SELECT 'again', count(DISTINCT content_sha256) FROM article_snapshots WHERE content_sha256 NOT IN (SELECT content_sha256 FROM article_embeddings WHERE content_sha256 IS NOT NULL)""")
+def retried_candidates(spark, folder):
+    """What is left to do, without and with what failed before."""
+    a, e, s = _t(spark, folder, "article_snapshots", "article_embeddings", "story_signals")
+    one = lambda way, again: latest.not_done(a.select("content_sha256").where("content_sha256 is not null").distinct(), e, "content_sha256", s, again).agg(F.count("*").alias("contents")).select(F.lit(way).alias("way"), "contents")
+    return one("once", False).unionByName(one("again", True))
+
+
+@query("SELECT content_sha256, snapshot_id, fetched_at FROM article_snapshots WHERE fetch_ok AND content_sha256 <> '' QUALIFY row_number() OVER (PARTITION BY content_sha256 ORDER BY fetched_at DESC NULLS LAST, snapshot_id DESC) = 1")
+def unique_versions(spark, folder):
+    """The newest good fetch of each content (P6, T-16)."""
+    return latest.unique_articles(table(spark, folder, "article_snapshots")).select("content_sha256", "snapshot_id", "fetched_at")
+
+
+@query(f"SELECT count(*) AS documents, 384 * count(*) AS bytes FROM ({MART_SQL['semantic_index']})")
+def vector_bytes(spark, folder):
+    """Quantised vectors of the index: a byte for each number, in order of stories."""
+    ix = _index(spark, folder).select("story_id", "vector")
+    return ix.agg(F.count("*").alias("documents"), F.sum(F.size(F.filter("vector", lambda x: x.between(-127, 127)))).alias("bytes"))
