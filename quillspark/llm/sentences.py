@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -30,6 +30,7 @@ from quillspark.session import ship_package, written
 TERMINAL = frozenset(".!?…。！？．।॥؟۔")
 WIDE_TERMINAL = frozenset("。！？")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "‘": "’"}
+_OPENING = re.compile("[" + re.escape("".join(PAIRS)) + "\"']")
 CLOSERS = frozenset("”’»›」』）)]】》\"'“")
 BRACKETS = frozenset("（([【")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -100,7 +101,8 @@ def list_items(text: str, a: int, b: int) -> list[tuple[int, int, bool]]:
 def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Outermost quotations and brackets that close within a paragraph."""
     out, at = [], a
-    while at < b:
+    while (m := _OPENING.search(text, at, b)) is not None:
+        at = m.start()
         c = text[at]
         before = text[at - 1] if at > a else " "
         after = text[at + 1] if at + 1 < b else " "
@@ -144,7 +146,8 @@ def tokens_of(text: str, a: int, b: int) -> list[Token]:
 
     def plain(s: int, e: int) -> None:
         for m in _TOKEN.finditer(text, s, e):
-            out.append(Token(m.start(), m.end(), m.lastgroup, m[0], m[0][-1]))
+            t = m[0]
+            out.append(Token(*m.span(), m.lastgroup, t, t[-1]))
 
     at = a
     for s, e in enclosed(text, a, b):
@@ -191,7 +194,12 @@ def plain_form(t: Token) -> str:
         return t.text
     if t.kind == "thai":
         return t.text if len(t.text) <= 6 else t.text[:6]
-    return _NUM.sub("9", t.text)
+    return _numbers_alike(t.text)
+
+
+@lru_cache(maxsize=200_000)
+def _numbers_alike(text: str) -> str:
+    return _NUM.sub("9", text)
 
 
 def coarse(form: str, kind: str) -> str:
@@ -225,24 +233,37 @@ def right_form(t: Token, vocabulary: set[str]) -> str:
     return p if p in vocabulary or t.kind in ("quote", "bracket", "mark", "dots") else coarse(p, t.kind)
 
 
-def _far(left: list[str], i: int) -> str:
+def _far(left: Callable[[int], str], i: int) -> str:
     """What stands before token i, with the token before a number: ``At 9.9``."""
     if i == 0:
         return "^"
-    return f"{left[i - 2]} {left[i - 1]}" if i > 1 and left[i - 1][0] == "9" else left[i - 1]
+    near = left(i - 1)
+    return f"{left(i - 2)} {near}" if i > 1 and near[0] == "9" else near
 
 
 def events_of(text: str, a: int, b: int, vocabulary: set[str]) -> tuple[list[Token], list[tuple]]:
     """Tokens and events of a paragraph: ``(i, l2, l1, r1, r2, hangs)``. ``hangs`` tells that l2 is the start if a boundary stands at the event before."""
     toks = tokens_of(text, a, b)
-    left = [left_form(t, vocabulary) for t in toks]
-    right = [right_form(t, vocabulary) for t in toks]
-    out, before = [], -2
-    for i in gaps_of(text, toks):
-        l2 = _far(left, i)
-        r2 = right[i + 2] if i + 2 < len(toks) else "$"
-        out.append((i, l2, left[i], right[i + 1], r2, before == i - 1))
-        before = i
+    left: dict[int, str] = {}
+    right: dict[int, str] = {}
+
+    def before_gap(i: int) -> str:
+        got = left.get(i)
+        if got is None:
+            got = left[i] = left_form(toks[i], vocabulary)
+        return got
+
+    def after_gap(i: int) -> str:
+        got = right.get(i)
+        if got is None:
+            got = right[i] = right_form(toks[i], vocabulary)
+        return got
+
+    out, last = [], -2
+    for i in gaps_of(text, toks):  # forms are made only of tokens next to a gap
+        r2 = after_gap(i + 2) if i + 2 < len(toks) else "$"
+        out.append((i, _far(before_gap, i), before_gap(i), after_gap(i + 1), r2, last == i - 1))
+        last = i
     return toks, out
 
 
@@ -348,30 +369,29 @@ def _factor(near: dict[str, tuple[float, float]]) -> dict[str, float]:
 
 def posteriors(events: list[tuple], model: Model) -> np.ndarray:
     """Probability of a boundary at each event: forward-backward over two states, as an event can be the context of the next."""
-    n = len(events)
-    if not n:
-        return np.zeros(0)
-    odds = np.empty((n, 2))
-    for k, (_, l2, l1, r1, r2, hangs) in enumerate(events):
-        odds[k, 0] = model.odds(l2, l1, r1, r2)
-        odds[k, 1] = model.odds("^", l1, r1, r2) if hangs else odds[k, 0]
-    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))  # of a boundary, by the state before
-    move = np.stack([1 - p, p], axis=2)
-    f = np.empty((n, 2))
-    f[0] = move[0, 0]
-    for k in range(1, n):
-        f[k] = f[k - 1] @ move[k]
-        f[k] /= f[k].sum()
-    back = np.ones(2)
-    out = np.empty(n)
-    for k in range(n - 1, -1, -1):
-        s = f[k] * back
-        out[k] = s[1] / s.sum()
-        back = move[k] @ back
-        back /= back.sum()
+    move = []  # of a boundary, by the state before
+    for _, l2, l1, r1, r2, hangs in events:
+        p = _chance(model.odds(l2, l1, r1, r2))
+        move.append((p, _chance(model.odds("^", l1, r1, r2)) if hangs else p))
+    forward, f0, f1 = [], 1.0, 0.0
+    for p0, p1 in move:
+        f0, f1 = f0 * (1 - p0) + f1 * (1 - p1), f0 * p0 + f1 * p1
+        f0, f1 = f0 / (f0 + f1), f1 / (f0 + f1)
+        forward.append((f0, f1))
+    out, b0, b1 = np.empty(len(events)), 1.0, 1.0
+    for k in range(len(events) - 1, -1, -1):
+        f0, f1 = forward[k]
+        out[k] = f1 * b1 / (f0 * b0 + f1 * b1)
+        p0, p1 = move[k]
+        b0, b1 = (1 - p0) * b0 + p0 * b1, (1 - p1) * b0 + p1 * b1
+        b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
     return out
 
 
+def _chance(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
 def split(text: str, model: Model) -> list[tuple[int, int]]:
     """Sentence spans of a text, in code points; every character but white space between sentences is in exactly one."""
     out: list[tuple[int, int]] = []
@@ -421,7 +441,7 @@ def _count_events(vocabulary) -> callable:
                         c[("s", right[0], right[1], "", "")] += 1
                         if toks[-1].last in TERMINAL or toks[-1].kind == "thai":
                             left = [left_form(t, known) for t in toks[-3:]]
-                            c[("e", _far(left, len(left) - 1), left[-1], "", "")] += 1
+                            c[("e", _far(left.__getitem__, len(left) - 1), left[-1], "", "")] += 1
             if not c:
                 continue
             k = list(zip(*c, strict=True))
@@ -459,7 +479,7 @@ def _expected(model) -> callable:
         for b in batches:
             mass = Counter()
             for l2, l1, r1, r2, n in zip(b["x1"], b["x2"], b["x3"], b["x4"], b["n"], strict=True):
-                p = n / (1 + math.exp(-max(-30.0, min(30.0, m.odds(l2, l1, r1, r2)))))
+                p = n * _chance(m.odds(l2, l1, r1, r2))
                 for side, table, far, near in ((0, m.after, l2, l1), (1, m.before, r2, r1)):
                     for k in _keys(far, near):
                         if k in table:
