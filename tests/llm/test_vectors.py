@@ -61,11 +61,18 @@ def test_groups_equal_connected_components(spark, block):
 
 def test_clusters_above_the_block_equal_those_within(spark):
     x = sample(6, groups=8, noise=0.53, hot=300)  # similarities in the hot group are on both sides of the threshold
-    got = [{r["content_sha256"]: r for r in clusters.cluster_vectors(frame(spark, x), block=b).collect()} for b in (4096, 48)]
-    for k, r in got[0].items():
-        o = got[1][k]
-        assert (o["anchor_sha256"], o["cluster_id"], o["cluster_size"], o["place"], o["group_key"]) == (r["anchor_sha256"], r["cluster_id"], r["cluster_size"], r["place"], r["group_key"])
-    assert len({r["cluster_id"] for r in got[0].values() if r["group_size"] > 48}) > 1
+    whole, *cut = [{r["content_sha256"]: r for r in clusters.cluster_vectors(frame(spark, x), block=b).collect()} for b in (4096, 128, 48)]
+    what = lambda r: (r["anchor_sha256"], r["cluster_id"], r["cluster_size"], r["place"], r["pivot_sha256"], r["group_key"])
+    for got in cut:
+        assert {k: what(r) for k, r in got.items()} == {k: what(r) for k, r in whole.items()}
+    assert len({r["cluster_id"] for r in whole.values() if r["group_size"] > 128}) > 1
+    _, s = groups_of(x)
+    at = lambda sha: int(sha[1:])
+    pivots = {r["pivot_sha256"] for r in whole.values()}
+    for k, r in whole.items():  # each member is similar to its pivot, and no pivot is closer; pivots aren't similar to each other
+        assert k == r["pivot_sha256"] or s[at(k), at(r["pivot_sha256"])] >= 0.78
+        assert k in pivots or s[at(k), at(r["pivot_sha256"])] >= max(s[at(k), at(p)] for p in pivots) - 1e-12
+    assert all(s[at(p), at(q)] < 0.78 for p in pivots for q in pivots if p != q)
 
 
 def test_places_in_stretches(spark):
