@@ -20,8 +20,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -226,14 +226,14 @@ def candidates(named: DataFrame, soft: DataFrame) -> DataFrame:
     return every.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
 
 
-def compare(a: list[str], b: list[str], weight: dict[str, float], nicks: dict[str, set[str]]) -> tuple[float, str]:
+def compare(a: list[str], b: list[str], weight: dict[str, float], match: Callable[[str, str], tuple[float, bool]]) -> tuple[float, str]:
     """Soft cosine and kind of a pair of token lists: ``strong``, ``weak`` (an initial or a missing token) or ``no``."""
     dot, sure, key, exact_key = 0.0, True, -1.0, False
-    options = sorted(((token_match(x, y, nicks), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), key=lambda o: (-o[0][0], -weight.get(a[o[1]], 1.0), o[1], o[2]))
+    options = sorted(((m, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (m := match(x, y))[0]), key=lambda o: (-o[0][0], -weight.get(a[o[1]], 1.0), o[1], o[2]))
     used_a, used_b = set(), set()
     initials: list[tuple[list[str], set[int], int]] = []
     for (score, certain), i, j in options:
-        if score == 0 or i in used_a or j in used_b:
+        if i in used_a or j in used_b:
             continue
         used_a.add(i)
         used_b.add(j)
@@ -264,17 +264,19 @@ def _verify(threshold: float):
     listed = {k: set(v.split()) for k, v in NICKNAMES.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plainly = lru_cache(maxsize=500_000)(partial(token_match, nicks=listed))
         for x in batches:
             out = []
             for ra, rb, wa, wb, na, nb in zip(x["ra"], x["rb"], x["wa"], x["wb"], x["na"], x["nb"], strict=True):
-                nicks = listed
-                for n in (na, nb):
-                    for t in n if n is not None else ():
-                        if nicks is listed:
-                            nicks = dict(listed)
-                        nicks[t["token"]] = nicks.get(t["token"], set()) | {t["b"]}
+                match = plainly
+                if na is not None or nb is not None:
+                    nicks = dict(listed)
+                    for n in (na, nb):
+                        for t in n if n is not None else ():
+                            nicks[t["token"]] = nicks.get(t["token"], set()) | {t["b"]}
+                    match = partial(token_match, nicks=nicks)
                 w = {t["t"]: t["w"] for s in (wa, wb) for t in s}
-                best = max((compare(list(p), list(r), w, nicks) for p in ra for r in rb), key=lambda s: ({"no": 0, "weak": 1, "strong": 2}[s[1]], s[0]))
+                best = max((compare(list(p), list(r), w, match) for p in ra for r in rb), key=lambda s: ({"no": 0, "weak": 1, "strong": 2}[s[1]], s[0]))
                 out.append(best if best[0] >= threshold else (best[0], "no"))
             yield pd.DataFrame({"ia": x["ia"], "ib": x["ib"], "kind": [o[1] for o in out], "sim": [o[0] for o in out]}).query("kind != 'no'")
 
@@ -297,7 +299,7 @@ def link_names(signals: DataFrame, threshold: float = 0.5) -> DataFrame:
     listed = spark.createDataFrame([(k, x) for k, v in NICKNAMES.items() for x in v.split()], "token string, b string")
     quoted = base.where("nick is not null").select(F.regexp_extract("nick", r"^(\S*) (.*)$", 1).alias("token"), F.regexp_extract("nick", r"^(\S*) (.*)$", 2).alias("b")).distinct()
     quoted = written(quoted.join(listed, ["token", "b"], "left_anti"))
-    known = listed.unionByName(quoted)
+    known = written(listed.unionByName(quoted))
 
     small = base.where("not upper").select(F.explode(F.array_distinct("lower")).alias("token")).groupBy("token").agg(F.count("*").alias("small"))
     each = base.select("id", "upper", F.explode(F.array_distinct(F.flatten("readings"))).alias("token"))
