@@ -15,7 +15,7 @@ from quillspark.operators.checkpoint import Checkpoint
 from quillspark.plans import marts
 from quillspark.plans.reference_queries import SQL as MART_SQL
 from quillspark.plans.reference_queries import _covered, _index, _t
-from quillspark.session import shared_dir
+from quillspark.session import delete_at_exit, shared_dir
 from quillspark.sinks import tables as sink
 from quillspark.sources import migration
 from quillspark.sources import tables as source
@@ -34,7 +34,10 @@ def query(sql: str):
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
 
 
 @query("SELECT observed_at, surface, position, title, url, story_id, scrape_id FROM observations")

@@ -68,11 +68,12 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(path)
-    _delete_at_exit(spark, path)
+    delete_at_exit(spark, path)
     return path
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver ends."""
     def delete() -> None:
         with contextlib.suppress(Exception):
             jvm, sc = spark._jvm, spark.sparkContext
@@ -94,7 +95,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _delete_at_exit(spark, path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
