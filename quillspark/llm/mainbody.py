@@ -53,7 +53,7 @@ def block_key(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def _step(tag: str, attrs: str) -> str:
     """A tag's part of a slot: its name and what tells it apart, without values that differ from build to build."""
     if not attrs:
@@ -163,7 +163,7 @@ def simple_tree_matching(a: tuple, b: tuple, pairs: list[tuple[tuple, tuple]] |
     return int(best[n, m]) + 1
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def template_of(text: str) -> str:
     return _DIGITS.sub("9", text)
 
@@ -175,7 +175,7 @@ def matched_template(blocks: list, reference: list, constant: Iterable[int]) ->
     return {node_key(y[3], y[1]) for x, y in pairs if x[0] == "#" and template_of(x[1]) == template_of(y[1]) and node_key(x[3], x[1]) in known}
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def is_headline(slot: str) -> bool:
     """A first-level heading or the page's title, which are no body whatever stands in the text."""
     return any(t.split(".", 1)[0].split("[", 1)[0] in ("h1", "title") for t in slot.split("/"))
@@ -185,18 +185,18 @@ def _h(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) & ((1 << BITS) - 1)
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def _shape(template: str) -> str:
     """Words with a capital made alike: names differ from page to page, what stands around them doesn't."""
     return _CAPITAL.sub("C", template[:120])[:60]
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def _of_slot(slot: str, wrap: str) -> tuple[int, ...]:
     return _h("bias"), _h(f"s|{slot}|{wrap}"), _h(f"w|{wrap}"), _h(f"l|{slot.rsplit('/', 1)[-1]}|{wrap}")
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def _of_block(text: str) -> tuple[int, ...]:
     t, words = template_of(text), text.split(" ", 2)
     return _h(f"t|{t}"), _h(f"h|{_shape(t)}"), _h(f"1|{words[0].lower()}"), _h(f"2|{' '.join(words[:2]).lower()}"), _h(f"e|{text[-1]}|{min(len(text) // 30, 5)}")
@@ -207,7 +207,7 @@ def block_features(blocks: list[tuple[str, str, str]], title: str) -> list[list[
     return [[*_of_slot(slot, wrap), *_of_block(text), _h(f"st|{slot}|{wrap}|{template_of(text)[:40]}"), *(is_title if text == title else ())] for text, slot, wrap in blocks]
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def _of_line(line: str) -> tuple[int, ...]:
     h = xxhash.xxh32_intdigest
     first = [w.lower() for w in line.split(" ", 3)[:3]]
@@ -297,7 +297,7 @@ def scores_of(rows: list[list[int]] | np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.add.reduceat(w[np.concatenate(rows)], np.r_[0, np.cumsum(size)[:-1]])
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=8_192)
 def node_key(slot: str, text: str) -> int:
     """A text (numbers alike) in its slot, as a signed 64-bit number."""
     return xxhash.xxh64_intdigest(f"{slot}|{template_of(text)}") - 2**63
@@ -389,21 +389,24 @@ def constant_of_layouts(pages: DataFrame) -> DataFrame:
 
 def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [matched_template(json.loads(x), json.loads(r), c) for x, r, c in zip(b["blocks"], b["reference"], b["known"], strict=True)]
-        yield b.drop(columns=["reference", "known"]).assign(constant=[list(f) for f in found])
+        found = [list(matched_template(json.loads(x), json.loads(r), c)) for x, r, c in zip(b["blocks"], b["reference"], b["known"], strict=True)]
+        yield pd.DataFrame({"host": b["host"], "layout": b["layout"], "found": found})
 
 
 def with_templates(both: DataFrame, constant: DataFrame) -> DataFrame:
-    """``both`` (``host, layout, blocks`` and more) with ``constant``: the template nodes of each page, null where its host has none."""
+    """``both`` (``snapshot_id, host, layout, blocks`` and more) with ``constant``: the template nodes of each page's layout, null where its host has none.
+
+    Those of a layout without any of its own are what its pages, which are of two stories at most, have in common with a page of the host's commonest one.
+    """
+    pages = both.where("blocks is not null").select("snapshot_id", "host", "layout", "blocks")
     top = constant.groupBy("host").agg(F.max(F.struct("stories", "layout", F.col("constant").alias("known"))).alias("m")).select("host", "m.layout", "m.known")
-    reference = written(both.where("blocks is not null").select("host", "layout", "blocks", "snapshot_id").join(top, ["host", "layout"]).groupBy("host").agg(F.min_by("blocks", "snapshot_id").alias("reference"), F.first("known").alias("known")))
-    told = both.join(constant.drop("stories"), ["host", "layout"], "left")
-    rare = told.where("constant is null and blocks is not null").drop("constant")
-    aligned = rare.join(reference, "host")
-    schema = ", ".join(f"{n} {t}" for n, t in rare.dtypes) + ", constant array<long>"
-    alone = rare.join(reference.select("host"), "host", "left_anti").withColumn("constant", F.lit(None).cast("array<long>"))
-    rest = told.where("constant is not null or blocks is null")
-    return rest.unionByName(aligned.mapInPandas(_matched, schema)).unionByName(alone)
+    first = pages.select("host", "layout", "snapshot_id").join(top, ["host", "layout"]).groupBy("host", "layout").agg(F.min("snapshot_id").alias("snapshot_id"), F.first("known").alias("known"))
+    reference = pages.join(first, ["snapshot_id", "host", "layout"]).groupBy("host").agg(F.min("blocks").alias("reference"), F.first("known").alias("known"))
+    rare = pages.select("host", "layout").distinct().join(constant.select("host", "layout"), ["host", "layout"], "left_anti")
+    aligned = pages.join(rare, ["host", "layout"]).join(reference, "host").select("host", "layout", "blocks", "reference", "known")
+    found = aligned.mapInPandas(_matched, "host string, layout long, found array<long>").groupBy("host", "layout").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("constant"))
+    every = written(constant.select("host", "layout", "constant").unionByName(found))
+    return both.join(every, ["host", "layout"], "left")
 
 
 def _bodies(b: pd.DataFrame, w: Wrapper) -> pd.DataFrame:
@@ -476,7 +479,7 @@ def story_blocks(snapshots: DataFrame, raw: DataFrame, excluded: DataFrame | Non
     both = written(s.join(read, "snapshot_id", "left"))
     paired = both.where("blocks is not null")
     constant = written(constant_of_layouts(paired.select("host", "layout", "story", "nodes")))
-    both = written(with_templates(both.drop("nodes", "story"), constant))
+    both = with_templates(both.drop("nodes", "story"), constant)
     paired = both.where("blocks is not null")
     shared = spark.sparkContext.broadcast(induce(sample_pairs(paired, pairs)))
     own = host_wrappers(paired, pairs, least)
