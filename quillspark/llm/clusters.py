@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import vectors as V
 from quillspark.session import drop_written, ship_package, written
 
-BLOCK = 4096
+#: A component up to this is worked at in one piece: it is compared with its pivots only, so this bounds memory, not work.
+BLOCK = 8192
 #: Vectors that a round within a block takes.
 HEAD = 256
 OUT = "sha string, pivot string, anchor string, similarity double, size long, place long, group_key string"
