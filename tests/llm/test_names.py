@@ -112,3 +112,46 @@ def test_all_quoted_nicknames_count(spark):
     df = spark.createDataFrame(rows, "named_entities array<string>, event_label string")
     got = {r["spelling"]: r["class_id"] for r in N.link_names(df).collect()}
     assert all(got[a[0]] == got[a[1]] for a, _ in rows)
+
+
+def test_token_join_of_frequent_grams_finds_what_brute_force_finds(spark):
+    import random
+
+    rnd = random.Random(5)
+    words = {"verylongandx"[: rnd.choice([0, 0, 9, 10, 11, 12])] + rnd.choice("bdf") + rnd.choice(["el", "ar"]) + rnd.choice(["ab", "iz"]) + rnd.choice(["ek", "ol", "um"]) + rnd.choice(["gate", "stone", ""]) for _ in range(400)}
+    for w in sorted(words):
+        i = rnd.randrange(len(w) - 1)
+        words |= {w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]} if rnd.random() < 0.5 else {w + "x"}
+    assert {min(len(w), 20) for w in words} >= {6, 7, 8, 16, 17, 18, 19, 20}
+    got = {(r["a"], r["b"]) for r in N.similar_tokens(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and N.typing_errors(a, b) < 9}
+
+
+def test_abbreviations_are_those_of_brute_force(spark):
+    import random
+
+    rnd = random.Random(6)
+    words = {"".join(rnd.choice("abé") for _ in range(rnd.randint(1, 8))) for _ in range(300)} | {"a" + "b" * 70, "ab" * 40, "b" + "a" * 64}
+    got = [(r["a"], r["b"]) for r in N.abbreviations(spark.createDataFrame([(w,) for w in words], "token string")).collect()]
+    assert sorted(got) == sorted((a, b) for a in words for b in words if N._short_for(a, b))
+
+
+def test_chance_abbreviations_bring_no_names_together(spark):
+    # Each surname holds the letters of "grain" in order, which many organisations have: pairs would grow with the square.
+    names = [f"{g} G{a}r{b}agi{c}nden" for i, (a, b, c) in enumerate((a, b, c) for a in "aeo" for b in "aou" for c in "bdkmpt") for g in [("Oskar", "Lena")[i % 2]]]
+    firms = [f"{a}od{b}{c}mann Grain {('Board', 'Union')[i % 2]}" for i, (a, b, c) in enumerate((a, b, c) for a in "BVT" for b in "aeo" for c in "bdkmpt")]
+    seen = []
+    whole = N.candidates
+
+    def counted(*args):
+        seen.append(N.written(whole(*args)))
+        return seen[0]
+
+    N.candidates = counted
+    try:
+        got = classes(spark, [(names + firms, None)])
+    finally:
+        N.candidates = whole
+    named = set(names)
+    assert not [c for c in got if c & named and c - named]
+    assert seen[0].count() < len(names) * len(firms) / 4
